@@ -104,16 +104,19 @@ class Words:
         return hash_spans(self.bytes, self.start, self.end - self.start)
 
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of words longer than k bytes: their indexes and the hashes of their first k bytes."""
+        """Of words longer than k bytes (k at most 8): their indexes and the hashes of their first k bytes."""
         longer = np.flatnonzero(self.end - self.start > k)
-        return longer, hash_spans(self.bytes, self.start[longer], np.full(len(longer), k, np.int64), salt=k)
+        if not hasattr(self, "first_eight"):
+            self.first_eight = np.ndarray(shape=(len(self.bytes) - 7,), dtype="<u8", buffer=self.bytes, strides=(1,))[self.start]
+        with np.errstate(over="ignore"):
+            return longer, mix((self.first_eight[longer] & _MASKS[k]) ^ (U64(k) * _K3))
 
 
-def hash_spans(padded: np.ndarray, start: np.ndarray, length: np.ndarray, salt: int = 0) -> np.ndarray:
+def hash_spans(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hashes of byte spans; `padded` has 16 spare bytes at its end. Eight bytes are read at a time."""
     eight = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
     with np.errstate(over="ignore"):
-        h = length.astype(np.uint64) * _K1 + U64(salt)
+        h = length.astype(np.uint64) * _K1
         h = mix(h ^ (eight[start] & _MASKS[np.minimum(length, 8)]))
         more = np.flatnonzero(length > 8)
         at = 8
