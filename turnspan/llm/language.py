@@ -115,7 +115,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     def document_frequencies() -> Callable:
         def count(data: np.ndarray, offs: np.ndarray):
             df = np.zeros(dims + 1, dtype=np.int64)
-            for i, j in slices(offs, 1_000_000):
+            for i, j in slices(offs, 1_000_000, 256):
                 df[:dims] += (gram_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], dims) > 0).sum(axis=0)
             df[dims] = len(offs) - 1
             return np.arange(dims + 1), df
@@ -158,7 +158,7 @@ def _vectors_of(rows: DataFrame, dims: int, idf: np.ndarray) -> DataFrame:
     def make():
         def vector(data: np.ndarray, offs: np.ndarray):
             out = []
-            for i, j in slices(offs, 1_000_000):
+            for i, j in slices(offs, 1_000_000, 256):
                 out += [v.tobytes() for v in vectors(gram_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], dims), idf).astype(np.float16)]
             return [out]
 
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pref
             n = len(offs) - 1
             letters = _has_letter(data, offs) if len(data) else np.zeros(n, bool)
             best, score, cosine = np.zeros(n, int), np.zeros(n), np.zeros(n)
-            for i, j in slices(offs, 1_000_000):
+            for i, j in slices(offs, 1_000_000, 256):
                 if not known:
                     break
                 v = vectors(gram_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m.dims), m.idf)

@@ -67,12 +67,12 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most `most` bytes together; a longer text stands alone."""
+def slices(offs: np.ndarray, most: int = 4_000_000, texts: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `texts` texts of at most `most` bytes together; a longer text stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + most, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + texts, n)
         yield i, j
         i = j
 
