@@ -7,7 +7,7 @@ language of the centroid with the largest cosine, and is rejected where that cos
 share of the smallest cosines seen within that language.
 
 Document frequencies come from all training texts; about `sample` training texts, twice
-that at most, reach the driver one by one as vectors of a fixed size, to be clustered.
+that at most, reach the driver as vectors of a fixed size, to be clustered.
 
 Edge cases: a null or empty text, or one without any letter, gets `und` with score 0 and is
 rejected; with no training text at all everything is `und`; ties go to the language that sorts
@@ -137,9 +137,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(each / by_lang[x])) for x in languages])
     held = _vectors_of(train.filter(share < chance), dims, idf)
     points: dict[str, list[np.ndarray]] = {x: [] for x in languages}
-    for row in held.toLocalIterator():
-        if len(points[row.lang]) < 2 * each:  # ids that repeat could bring more
-            points[row.lang].append(np.frombuffer(row.v, dtype=np.float16).astype(np.float32))
+    for row in held.orderBy("v", "lang").limit(2 * sample).collect():  # ids that repeat could bring more
+        points[row.lang].append(np.frombuffer(row.v, dtype=np.float16).astype(np.float32))
     owner, centres, floor = [], [], []
     for i, x in enumerate(languages):
         p = np.array(points[x], dtype=np.float32).reshape(-1, dims)

@@ -39,6 +39,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 PREFIXES = (3, 4, 5, 6)
 EVIDENCE = 3
+CALIBRATION = 4000  # examples, about, that fit the logistic curve
 
 
 def word_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,10 +219,8 @@ def fit(
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    rows = []
-    for r in add_columns(examples, "text", lambda: _maker(chosen), fields, keep=["id", "label"]).toLocalIterator():
-        if len(rows) < 2 * sample:  # ids that repeat in docs could bring more
-            rows.append(r)
+    rows = add_columns(examples, "text", lambda: _maker(chosen), fields, keep=["id", "label"])
+    rows = rows.orderBy("id", "label", "terms").limit(2 * sample).collect()  # ids that repeat in docs could bring more
     # Examples with the same rarest term stand together, so that block maxima tell blocks apart.
     rows.sort(key=lambda r: (max(r.terms, key=lambda t: (idf[t], t)) if r.terms else -1, str(r.id)))
     y = np.array([float(r.label > 0) for r in rows])
@@ -238,7 +237,8 @@ def fit(
     ends = np.searchsorted(example, np.arange(len(rows) + 1))
     held: dict[bytes, tuple] = {}
     votes = np.full(len(rows), bare)
-    for i in np.flatnonzero(has):
+    tried = np.arange(0, len(rows), max(1, len(rows) // CALIBRATION))
+    for i in tried[has[tried]]:
         t, w = term[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]
         key = t.tobytes() + w.tobytes()
         if key not in held:
@@ -246,7 +246,7 @@ def fit(
         e, c = held[key]
         other = e != i
         votes[i] = vote(y[e[other][:neighbours]], c[other][:neighbours], prior)
-    slope, offset = _calibrate(votes, y)
+    slope, offset = _calibrate(votes[tried], y[tried])
     return ToxicModel(chosen, idf, index, prior, bare, slope, offset, neighbours)
 
 
