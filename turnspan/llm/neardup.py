@@ -306,3 +306,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     moved = of_content.join(contents.select("content", "node", "n"), "content").filter("class_id <> node or n > 1").select("content", "class_id")
     placed = base.select("node", "content").join(moved, "content", "left")
     return placed.select(F.col("node").alias(id_col), F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the least of its class, one row for each id, and the rows
+    without an id; same columns."""
+    found = cut(classes(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
+    key = F.col(f"`{id_col}`").cast("long")
+    gone = found.filter("__id <> class_id").select("__id").distinct()
+    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    again = found.filter("__id is not null").groupBy("__id").count().filter("count > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, key == F.col("__id"), "left_anti")
+    return single.unionByName(kept.join(again, key == F.col("__id"), "left_semi").dropDuplicates([id_col]))
