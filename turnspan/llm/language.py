@@ -29,7 +29,7 @@ from .textnum import FOLD, slices
 
 DIMS = 4096
 CENTROIDS = 3
-SAMPLE = 6000
+SAMPLE = 2400
 REJECT_SHARE = 0.5
 UNKNOWN = "und"
 SHARPNESS = 25.0
@@ -136,12 +136,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     share = F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 11) * F.lit(2.0**-53)
     chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(each / by_lang[x])) for x in languages])
     held = _vectors_of(train.filter(share < chance), dims, idf)
-    points: dict[str, list[np.ndarray]] = {x: [] for x in languages}
-    for row in held.orderBy("v", "lang").limit(2 * sample).collect():  # ids that repeat could bring more
-        points[row.lang].append(np.frombuffer(row.v, dtype=np.float16).astype(np.float32))
+    held = held.orderBy("v", "lang").limit(2 * sample).collect()  # ids that repeat could bring more
     owner, centres, floor = [], [], []
     for i, x in enumerate(languages):
-        p = np.array(points[x], dtype=np.float32).reshape(-1, dims)
+        p = np.frombuffer(b"".join(r.v for r in held if r.lang == x), dtype=np.float16).astype(np.float32).reshape(-1, dims)
         p = p[np.linalg.norm(p, axis=1) > 0.5]
         if not len(p):
             floor.append(0.0)
