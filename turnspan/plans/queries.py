@@ -3,3 +3,4 @@
 from . import queries_intervals  # noqa: F401
 from . import queries_vectors  # noqa: F401
 from . import queries_signal  # noqa: F401
+from . import queries_sources  # noqa: F401
