@@ -14,6 +14,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .textnum import column_bytes
 
 
+ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Holds the session's Arrow batches to ROWS rows, as whole texts are sent in them; a lower
+    setting stays. Batches are counted by rows, so the default of 10,000 can be a gigabyte of texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if not 0 < now <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
+
+
 def free(df: DataFrame, *names: str) -> None:
     """Raises where an added column's name is already taken."""
     clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
@@ -29,6 +42,7 @@ def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[np.nd
     """
     keep = list(df.columns if keep is None else keep)
     free(df.select(*[F.col(f"`{c}`") for c in keep]), *[f.name for f in fields])
+    small_batches(df)
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [*keep, *[f.name for f in fields]]
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("t"))
@@ -56,7 +70,7 @@ def counted(df: DataFrame, text_col: str, make: Callable[[], Callable[[np.ndarra
             keys, counts = function(*column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["k", "n"])
 
-    parts = df.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "k long, n long")
+    parts = small_batches(df).select(F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "k long, n long")
     return parts.groupBy("k").agg(F.sum("n").alias("n"))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
 from .textnum import ALNUM, Words, column_bytes, slices
 
 WINDOW = 10
@@ -186,7 +187,7 @@ def flag(
     window), {prefix}items long, {prefix}items_sha256 string, {prefix}longest long (the longest
     verbatim run of any test suffix, in words), {prefix}longest_item string, {prefix}longest_at
     long (the first word of that run in the document)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     names = [f"{prefix}{x}" for x in ("words", "hit", "items", "items_sha256", "longest", "longest_item", "longest_at")]
     clash = {x.lower() for x in docs.columns} & {x.lower() for x in [*names, f"{prefix}spans", f"{prefix}found"]}
     if clash:

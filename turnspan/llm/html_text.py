@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from turnspan.session import cut
 
+from .batches import small_batches
+
 PATHS_A_HOST = 8
 BROADCAST_HOSTS = 50_000
 
@@ -236,7 +238,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int = PATHS_A_HOST) -> DataFrame:
     """(host, paths): each host's voted paths, most votes first, then score, then name."""
-    rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
+    rows = small_batches(pages).select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
     votes = rows.mapInArrow(_votes, "host string, path string, votes long, score double")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.floor("score")).alias("s"), "path")))

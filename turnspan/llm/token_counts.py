@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabularies split text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def bpe_counts(texts: DataFrame, vocabulary: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """`texts` with the number of byte-level BPE tokens of each text, by the ranks in the file
     `vocabulary` (read on the driver and sent to the tasks: a vocabulary is of a fixed size)."""
-    ranks = texts.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = small_batches(texts).sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     names = [c for c in texts.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import add_columns, counted, sampled
+from .batches import add_columns, counted, sampled, small_batches
 from .textnum import ALNUM, Words, slices
 
 SAMPLE = 20_000
@@ -284,7 +284,7 @@ def _choose(examples: DataFrame, most: int) -> np.ndarray:
     n, bad = total.n, total.bad or 0
     if not bad or bad == n:
         return np.zeros(0, np.uint64)
-    by = examples.select("label", "text").mapInArrow(run, "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    by = small_batches(examples).select("label", "text").mapInArrow(run, "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     a, c = F.col("bad"), F.col("n") - F.col("bad")  # with the feature: toxic, other
     b, d = F.lit(bad) - a, F.lit(n - bad) - c
     chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (F.col("n") * F.lit(float(bad) * (n - bad)) * (F.lit(n) - F.col("n")))

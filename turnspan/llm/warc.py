@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 ARCHIVE_BYTES = 32_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 LEAST_REVISIT_BYTES = 0
@@ -230,7 +232,7 @@ def read_archive(ranges: Ranges) -> Iterator[tuple[int, int, dict]]:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """(id, url, payload, digest, refers_to): refers_to is the largest id with an equal payload, for
     all other rows with it. Payloads are found equal by their SHA-1; only those that repeat come back."""
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary").alias("payload"),
