@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .intervals import SPECTRAL_BELOW
 
 
+DIFFUSION = 8  # steps
+
+
 @dataclass(frozen=True)
 class SpectralConfig:
     min_speakers: int = 1
@@ -184,15 +187,22 @@ def umap_layout(x: np.ndarray, config: DensityConfig = DensityConfig(), epochs:
 
 
 def _spectral_start(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 60) -> np.ndarray:
-    """The leading eigenvectors of the normalised graph by orthogonal iteration on its edges."""
+    """The leading eigenvectors of the normalised graph by orthogonal iteration on its edges, each
+    scaled by a power of its eigenvalue, as after so many steps of diffusion."""
     degree = np.bincount(i, w, n) + np.bincount(j, w, n)
     v = w / np.sqrt(np.maximum(degree[i] * degree[j], 1e-12))
     y = np.linalg.qr(rng.normal(size=(n, k)))[0]
-    for _ in range(rounds):
-        z = y.copy()  # the graph plus one, so that all eigenvalues are positive
+
+    def times(y: np.ndarray) -> np.ndarray:
+        z = np.zeros_like(y)
         np.add.at(z, i, v[:, None] * y[j])
         np.add.at(z, j, v[:, None] * y[i])
-        y = np.linalg.qr(z)[0]
+        return z
+
+    for _ in range(rounds):  # the graph plus one, so that all eigenvalues are positive
+        y = np.linalg.qr(y + times(y))[0]
+    value = np.clip((y * times(y)).sum(axis=0), 0, 1)
+    y = y * value**DIFFUSION
     return 10 * y / np.abs(y).max()
 
 
