@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnspan.session import cut
+
 COLLAR = 0.25
 BUCKET = 10.0
 
@@ -67,21 +69,21 @@ def elementary(reference: DataFrame, hypothesis: DataFrame, collar: float = COLL
 
 
 def active(stretches: DataFrame, segments: DataFrame, bucket: float = BUCKET) -> DataFrame:
-    """(file_id, a, b, speaker): who speaks in each stretch. A range join on equal buckets of time."""
+    """(file_id, a, b, speaker): who speaks in each stretch, once for each of their segments there. A
+    range join on equal buckets of time."""
     parts = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
     s = segments.filter("end > start").select("file_id", "speaker", "start", "end", parts("start", "end").alias("bucket"))
     e = stretches.withColumn("bucket", F.floor((F.col("a") + F.col("b")) / 2 / bucket))
-    return e.join(s, ["file_id", "bucket"]).filter("start <= a and b <= end").select("file_id", "a", "b", "speaker").distinct()
+    return e.join(s, ["file_id", "bucket"]).filter("start <= a and b <= end").select("file_id", "a", "b", "speaker")
 
 
 def stretch_counts(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR) -> DataFrame:
-    """(file_id, a, b, ref, hyp): for each scored stretch the sets of speakers."""
+    """(file_id, a, b, ref, hyp): for each scored stretch in which anyone speaks, the sets of speakers."""
     e = elementary(reference, hypothesis, collar)
-    r = active(e, reference).groupBy("file_id", "a", "b").agg(F.array_sort(F.collect_set("speaker")).alias("ref"))
-    h = active(e, hypothesis).groupBy("file_id", "a", "b").agg(F.array_sort(F.collect_set("speaker")).alias("hyp"))
-    none = F.expr("cast(array() as array<string>)")
-    out = e.join(r, ["file_id", "a", "b"], "left").join(h, ["file_id", "a", "b"], "left")
-    return out.withColumn("ref", F.coalesce("ref", none)).withColumn("hyp", F.coalesce("hyp", none))
+    side = lambda s, n: s.select("file_id", "start", "end", F.struct(F.lit(n).alias("side"), F.col("speaker").alias("name")).alias("speaker"))
+    who = active(e, side(reference, 0).unionByName(side(hypothesis, 1)))
+    of = lambda n: F.array_sort(F.collect_set(F.when(F.col("speaker.side") == n, F.col("speaker.name"))))
+    return who.groupBy("file_id", "a", "b").agg(of(0).alias("ref"), of(1).alias("hyp"))
 
 
 def overlaps(stretches: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def best_mapping(shared: DataFrame) -> DataFrame:
 def error_components(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR) -> DataFrame:
     """(file_id, total, false_alarm, missed, confusion, correct, der), overlapped speech scored; a
     file of only one of the two tables is scored too. der is null where no time counts."""
-    s = stretch_counts(reference, hypothesis, collar)
+    s = cut(stretch_counts(reference, hypothesis, collar))  # read twice: for the mapping and for the sums
     mapped = best_mapping(overlaps(s)).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "h"))).alias("to"))
     s = s.join(mapped, "file_id", "left")
     d, nr, nh = F.col("b") - F.col("a"), F.size("ref"), F.size("hyp")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnspan.functions import colours
 from turnspan.operators import evaluation
 from turnspan.operators import intervals as iv
+from turnspan.session import cut
 from turnspan.sources import rttm
 
 from . import views as v
@@ -81,7 +82,7 @@ def colour_sets(spark, sf_dir):
 def _perturbed(spark, sf_dir):
     """The merged segments as reference, and as hypothesis with swapped names, shifted by 0.2 s, every
     fifth segment given to the other speaker."""
-    ref = _merged(spark, sf_dir)
+    ref = cut(_merged(spark, sf_dir))
     other = F.when(F.col("speaker") == "A", "B").otherwise("A")
     hyp = ref.withColumn("speaker", F.when(F.col("turn") % 5 == 4, F.col("speaker")).otherwise(other))
     return ref, hyp.withColumn("start", F.col("start") + 0.2).withColumn("end", F.col("end") + 0.2)

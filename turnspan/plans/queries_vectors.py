@@ -48,8 +48,7 @@ SIMS = f"""{VEC}, sims AS (
 
 
 def _sims(spark, sf_dir):
-    s = vectors.affinity(v.v_vec(spark, sf_dir))
-    return vectors.prune(s.withColumn("sim", _six(F.col("sim"))))
+    return vectors.pruned_affinity(v.v_vec(spark, sf_dir), digits=6)
 
 
 @register("sim_topk", f"WITH {SIMS} SELECT file_id, i, j, sim, rank::INT AS rank FROM pruned")
