@@ -44,3 +44,41 @@ def test_stream_equals_batch(spark, tmp_path):
         got.setdefault(r.file_id, []).append((r.speaker, r.start, r.end))
     for f, r in files.items():
         assert got.get(f, []) == sequential_raw(r)[:-1]
+
+
+def test_evaluate_folder(spark, tmp_path):
+    from turnspan.plans import evaluate as ev
+
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "rttm").mkdir()
+    talk = np.concatenate([voice(150, 8, 0), np.zeros(16_000), voice(900, 8, 1)])
+    (tmp_path / "audio" / "talk.wav").write_bytes(wav.encode(talk))
+    (tmp_path / "audio" / "broken.wav").write_bytes(b"RIFF" * 10)
+    (tmp_path / "audio" / "alone.wav").write_bytes(wav.encode(talk))
+    lines = ["SPEAKER talk 1 0.000 8.000 <NA> <NA> a <NA> <NA>", "SPEAKER talk 1 9.000 8.000 <NA> <NA> b <NA> <NA>"]
+    (tmp_path / "rttm" / "talk.rttm").write_text("\n".join(lines))
+    (tmp_path / "rttm" / "broken.rttm").write_text(lines[0])
+    files, summary = ev.evaluate(spark, str(tmp_path))
+    rows = {r.file_id: r for r in files.collect()}
+    assert set(rows) == {"talk", "broken"} and rows["broken"].error and rows["broken"].der is None
+    assert rows["talk"].der is not None and rows["talk"].reference_speakers == 2
+    s = summary.first()
+    assert s.files == 1 and s.failed == 1 and abs(s.global_der - rows["talk"].der) < 1e-12
+    ev.write_results(files, summary, str(tmp_path / "out"))
+    assert '"global_der"' in next((tmp_path / "out").glob("*.txt")).read_text()
+
+
+def test_convert_meetings(spark, tmp_path):
+    from turnspan.plans import evaluate as ev
+
+    (tmp_path / "m.xml").write_text('<root><meeting observation="M1"><speaker nxt_agent="A" global_name="X"/></meeting></root>')
+    (tmp_path / "s").mkdir()
+    for agent, at in (("A", "5"), ("B", "1")):
+        (tmp_path / "s" / f"M1.{agent}.segments.xml").write_text(
+            f'<nite:root xmlns:nite="http://nite"><segment nite:id="i" transcriber_start="{at}" transcriber_end="{at}.5"/></nite:root>'
+        )
+    run = lambda: ev.convert_meetings(spark, str(tmp_path / "m.xml"), str(tmp_path / "s"), str(tmp_path / "out"), ["M1", "M2"])
+    assert run() == {"written": ["M1"], "skipped": [], "missing": ["M2"]}
+    text = next((tmp_path / "out" / "stem=M1").glob("*.txt")).read_text().splitlines()
+    assert text == ["SPEAKER M1 1 1.000 0.500 <NA> <NA> UNKNOWN <NA> <NA>", "SPEAKER M1 1 5.000 0.500 <NA> <NA> X <NA> <NA>"]
+    assert run() == {"written": [], "skipped": ["M1"], "missing": ["M2"]}

@@ -171,3 +171,19 @@ def read_wavs(spark: SparkSession, path: str, strict: bool = True) -> tuple[Data
 
     audio = accepted.select("path", "content", "file_id").mapInPandas(run, "file_id string, path string, rate int, n_samples long, seconds double, samples array<float>")
     return audio, rejected
+
+
+def write_wavs(audio: DataFrame, path: str, rate: int = RATE, bits: int = BITS, as_float: bool = False) -> None:
+    """Writes recordings (file_id, samples) as WAV bytes, a Parquet table of (file_id, content): Spark
+    has no writer for single binary files; `export_wav` makes one of a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"file_id": pdf["file_id"], "content": [encode(x, rate, bits, as_float=as_float) for x in pdf["samples"]]})
+
+    audio.select(F.col("file_id").cast("string").alias("file_id"), "samples").mapInPandas(run, "file_id string, content binary").write.parquet(path)
+
+
+def export_wav(content: bytes, path: str) -> None:
+    with open(path, "wb") as f:
+        f.write(content)
