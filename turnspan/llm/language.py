@@ -31,6 +31,7 @@ DIMS = 4096
 CENTROIDS = 3
 SAMPLE = 2400
 REJECT_SHARE = 0.5
+MOST_LANGUAGES = 1000  # bounds the model that is sent to the tasks
 UNKNOWN = "und"
 SHARPNESS = 25.0
 
@@ -128,7 +129,9 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     idf = np.log((1 + df[dims]) / (1 + df[:dims])) + 1
     idf = idf.astype(np.float32)
 
-    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(by_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values in {lang_col}: these are no languages")
     languages = tuple(sorted(by_lang))
     if not languages:
         return LanguageModel((), np.zeros(0, int), np.zeros((0, dims), np.float32), idf, np.zeros(0), dims)
