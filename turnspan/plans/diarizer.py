@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from turnspan.functions import colours, signal
 from turnspan.operators import cluster, embedding, intervals, vad, vectors
