@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import add_columns, counted, sampled
+from .batches import add_columns, counted
 from .textnum import FOLD, slices
 
 DIMS = 4096

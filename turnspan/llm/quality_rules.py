@@ -69,8 +69,8 @@ def _repeat_words() -> str:
     )
 
 
-def measures(text: Column) -> Column:
-    """The struct m of a text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words,
+def measures(text_col: str) -> Column:
+    """The struct m of a text column: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words,
     n_capitals, n_bangs, n_repeat_words (all long)."""
     stop = ", ".join(_quote(w) for w in sorted(set(STOP_WORDS)))
     lines = "filter(split(t, '\\n', -1), x -> length(trim(BOTH {s} FROM x)) > 0)".replace("{s}", _quote(SPACE))
@@ -89,7 +89,7 @@ def measures(text: Column) -> Column:
         f"'w', regexp_extract_all(t, {_quote(WORD)}, 0), 'l', {lines})), z -> "
         f"transform(array(z.w), w -> transform(array(z.l), l -> {inner})[0])[0])[0])[0]"
     )
-    return F.expr(bound.replace("__text", "`__text`")), text
+    return F.expr(bound.replace("__text", f"`{text_col}`"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "quality") -> DataFrame:
@@ -97,8 +97,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     rules it breaks; none are judged for a text without words) and kept."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"a column {out} is in the way; choose another name")
-    expr, text = measures(F.col(f"`{text_col}`"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("__text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     verdicts = []
     for r in rules:
         bad = [f"{r.measure} < {r.least}"] * (r.least is not None) + [f"{r.measure} > {r.most}"] * (r.most is not None)
@@ -108,7 +107,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
         f"transform(array(m0), m -> transform(array(named_struct('b', {base}, 'r', array_compact(array({', '.join(verdicts)})))), "
         "v -> named_struct('m', m, 'base_failed', v.b, 'broken', v.r, 'kept', not v.b and size(v.r) = 0))[0])[0]"
     )
-    measured = packed.select("doc", expr.alias("m0"))
+    measured = packed.select("doc", measures("text").alias("m0"))
     return measured.select("doc.*", F.expr(verdict).alias(out))
 
 
