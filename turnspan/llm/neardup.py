@@ -302,8 +302,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # 5. Classes, of texts and then of rows.
     roots = components(links)
-    of_content = contents.join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("class_id"))
-    moved = of_content.join(contents.select("content", "node", "n"), "content").filter("class_id <> node or n > 1").select("content", "class_id")
+    moved = contents.join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node")).filter("class_id <> node or n > 1")
+    moved = cut(moved.select("content", "class_id"))  # written first, so that the join with its hot texts can be split
     placed = base.select("node", "content").join(moved, "content", "left")
     return placed.select(F.col("node").alias(id_col), F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
 
