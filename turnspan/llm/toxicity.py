@@ -1,42 +1,53 @@
 """Toxicity by the nearest labelled examples.
 
-A text is a TF-IDF vector over features of its words: whole lower-cased words and their first 3 to 6
-bytes. The vocabulary is the features whose share differs most between toxic and other examples
-(a chi-square test); document frequencies come from all documents. The labelled examples' vectors
-form an inverted index in blocks; each term keeps its largest weight in each block (block maxima),
-and a query opens blocks in the order of their upper bounds until no other block can hold one of
-its `neighbours` best cosines, so those are exact. The neighbours vote with weights that fall
-with their distance; a logistic curve fitted on the examples' own (leave-one-out) votes calibrates
-the result, and the nearest examples are the evidence.
+A text is a TF-IDF vector over the features of its words: whole lower-cased words and their first 3
+to 6 bytes. Every feature of the labelled examples is indexed, and document frequencies of these come
+from all documents; any other feature of a text adds to the text's norm, as one of a single document.
+Features that lean to the toxic side weigh more, by the root of their chi-square; none is left out.
+
+The index holds the common features as dense blocks of examples, each with its largest weights (block
+maxima), and the others as postings. A text's products with the postings are exact; with the maxima
+they bound what any example of a block can reach, and a block is opened only where that is not below
+the `neighbours`-th best product so far. What is found is computed again in double precision, so the
+cosines are exact. The neighbours vote with weights that fall with their distance; a logistic curve
+fitted on the examples' own (leave-one-out) votes calibrates the result, and the nearest examples are
+the evidence.
 
 The examples are a bounded sample (`sample` rows); everything else covers all data.
 
-Edge cases: a null or empty text, or one without any vocabulary feature, is no neighbour of any
-example: its score is the calibrated share of toxic ones among such examples; labels that are null
-or of unknown ids count for nothing; a text labelled more than once takes its highest label; without
+Edge cases: a null or empty text, or one without any feature of the examples, is no neighbour of any
+example: its score is the calibrated share of toxic ones among examples without words; labels that are
+null or of unknown ids count for nothing; a text labelled more than once takes its highest label; without
 labels all scores are 0; ties among neighbours go to the earlier example; repeated rows get equal
 results; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import add_columns, counted, sampled, small_batches
-from .textnum import ALNUM, Words, slices
+from turnspan.session import cut
+
+from .batches import add_columns, sampled, small_batches
+from .textnum import ALNUM, Words, column_bytes, slices
 
 SAMPLE = 20_000
-VOCABULARY = 4096
-LEAST_SUPPORT = 4
-LEAST_CHI2 = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
+SLICE = 1_000_000  # bytes of texts whose features are made at once
+PACK = 512  # examples packed together
+DENSE = 1024  # features held as dense blocks; the others are postings
+ROUNDING = 1e-5  # more than single precision loses in a product
+LEANING = 1.0  # how much the root of chi-square adds to the weight of a feature
 PREFIXES = (3, 4, 5, 6)
 EVIDENCE = 3
 CALIBRATION = 4000  # examples, about, that fit the logistic curve
@@ -46,116 +57,214 @@ def word_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     """(texts, features, counts) of each text's distinct features, sorted by text and feature."""
     w = Words(data, offs, ALNUM, fold=True)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(w.off))
-    h, t = [w.hashes()], [text]
-    for k in PREFIXES:
-        longer, p = w.prefixes(k)
-        h.append(p)
-        t.append(text[longer])
-    h, t = np.concatenate(h), np.concatenate(t)
-    return _grouped(t, h)
-
-
-def _grouped(t: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(h):
-        return t, h, np.zeros(0, np.int64)
-    order = np.lexsort((h, t))
-    t, h = t[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    first = np.flatnonzero(new)
-    return t[first], h[first], np.diff(np.append(first, len(h)))
-
-
-def vocabulary_features(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As word_features, of the (sorted) vocabulary's features only, as indexes into it."""
-    w = Words(data, offs, ALNUM, fold=True)
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(w.off))
-    h, t = [], []
-
-    def take(hashes: np.ndarray, texts: np.ndarray) -> None:
-        if not len(vocabulary):
-            return
-        low = hashes & np.uint64(0xFFFF)  # a quick table before the exact search
-        some = np.flatnonzero(table[low])
-        at = np.searchsorted(vocabulary, hashes[some])
-        at[at == len(vocabulary)] = 0
-        hit = vocabulary[at] == hashes[some]
-        h.append(at[hit])
-        t.append(texts[some][hit])
-
-    table = np.zeros(1 << 16, bool)
-    table[vocabulary & np.uint64(0xFFFF)] = True
-    take(w.hashes(), text)
-    for k in PREFIXES:
-        longer, p = w.prefixes(k)
-        take(p, text[longer])
-    if not h:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    return _grouped(np.concatenate(t), np.concatenate(h))
+    _, first, word = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    # A text's words are counted first, and their features made once for each word of all texts.
+    text, word, count = _grouped(text, word, np.ones(len(word), np.int64))
+    some = Words.__new__(Words)
+    some.bytes, some.size, some.start, some.end, some.off = w.bytes, w.size, w.start[first], w.end[first], None
+    kinds = [(np.arange(len(first)), some.hashes())] + ([some.prefixes(k) for k in PREFIXES] if len(first) else [])
+    own, at = np.unique(np.concatenate([h for _, h in kinds]), return_inverse=True)
+    t, f, c, begin = [], [], [], 0
+    for words, h in kinds:
+        feature = np.full(len(first), -1)
+        feature[words] = at[begin : begin + len(h)]
+        begin += len(h)
+        has = np.flatnonzero(feature[word] >= 0)
+        t.append(text[has])
+        f.append(feature[word[has]])
+        c.append(count[has])
+    text, feature, count = _grouped(np.concatenate(t), np.concatenate(f), np.concatenate(c))
+    return text, own[feature], count
+
+
+def _grouped(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (t, f), sorted, and the sums of their c; t and f are small numbers."""
+    if not len(f):
+        return t, f, c
+    key = t * (int(f.max()) + 1) + f
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return t[order[first]], f[order[first]], np.add.reduceat(c[order], first)
+
+
+def find(vocabulary: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The indexes of features in the sorted vocabulary; -1: not there."""
+    if not len(vocabulary):
+        return np.full(len(features), -1)
+    own, back = np.unique(features, return_inverse=True)
+    at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == own, at, -1)[back]
+
+
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of all spans, one span after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Normalised sparse example vectors by term, in blocks of `BLOCK` examples."""
+    """Normalised sparse example vectors in blocks of `BLOCK` examples.
+
+    They are kept and sent as packed terms and counts (see pack); the vectors, and what a search needs
+    besides, are made at the first search.
+    """
 
     ids: list
     labels: np.ndarray
-    blocks: int = 0
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # term: examples, weights
-    maxima: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # term: blocks, maxima, starts
+    off: np.ndarray
+    term: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    packs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    scale: np.ndarray | None = None
+    made: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, ids: list, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> BlockMaxIndex:
-        index = cls(ids, labels, (len(ids) + BLOCK - 1) // BLOCK)
-        order = np.lexsort((example, term))
-        term, example, weight = term[order], example[order], weight[order]
-        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, int)
-        for a, b in zip(starts, np.append(starts[1:], len(term))):
-            e, w = example[a:b], weight[a:b]
-            block = e // BLOCK
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            index.postings[int(term[a])] = (e, w)
-            index.maxima[int(term[a])] = (block[first], np.maximum.reduceat(w, first), np.append(first, len(e)))
-        return index
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((term, example))
+        return cls(ids, labels, np.searchsorted(example[order], np.arange(len(ids) + 1)), term[order].astype(np.int32), weight[order].astype(np.float32))
+
+    @classmethod
+    def pack(cls, ids: list, labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], scale: np.ndarray) -> BlockMaxIndex:
+        """The index of examples by their sorted terms and these' counts (int32).
+        Steps between terms are written byte by byte of their four, which packs them well."""
+        packs, off = [], np.cumsum([0, *[len(t) for t in terms]])
+        for a in range(0, len(ids), PACK):
+            step = np.diff(np.concatenate(terms[a : a + PACK]), prepend=np.int32(0))
+            planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T)
+            packs.append((zlib.compress(planes.tobytes(), 1), zlib.compress(np.concatenate(counts[a : a + PACK]).tobytes(), 1)))
+        return cls(ids, labels, off, packs=packs, scale=scale)
+
+    def open(self) -> BlockMaxIndex:
+        """Makes the vectors, where they are packed."""
+        if self.term is None:
+            self.term, self.weight = np.zeros(self.off[-1], np.int32), np.zeros(self.off[-1], np.float32)
+            for k, (t, c) in enumerate(self.packs):
+                off = self.off[k * PACK : (k + 1) * PACK + 1]
+                step = np.ascontiguousarray(np.frombuffer(zlib.decompress(t), np.uint8).reshape(4, -1).T).view(np.int32)
+                term = np.cumsum(step, dtype=np.int32)
+                count = np.frombuffer(zlib.decompress(c), np.int32)
+                self.term[off[0] : off[-1]] = term
+                self.weight[off[0] : off[-1]] = weigh(np.repeat(np.arange(len(off) - 1), np.diff(off)), term, count, self.scale, 0.0, len(off) - 1)
+        return self
+
+    def sent(self, spark: SparkSession):
+        """The index as a broadcast, made once."""
+        if "sent" not in self.made:
+            self.made["sent"] = spark.sparkContext.broadcast(self)
+        return self.made["sent"]
+
+    def __getstate__(self):
+        packed = {"term": None, "weight": None} if self.packs else {}
+        return {**self.__dict__, **packed, "made": {}}
+
+    def _make(self) -> dict:
+        if "query" not in self.made:
+            self.open()
+            n, size = len(self.ids), int(self.term.max()) + 1 if len(self.term) else 0
+            count = np.bincount(self.term, minlength=size)
+            column = np.full(size, -1, np.int32)
+            common = np.argsort(-count, kind="stable")[:DENSE]
+            column[common] = np.arange(len(common))
+            blocks = (n + BLOCK - 1) // BLOCK
+            dense = np.zeros((blocks * BLOCK, len(common)), np.float32)
+            length = np.where(column >= 0, 0, count)
+            begin = np.append(0, np.cumsum(length))
+            free = begin[:-1].copy()
+            example, value = np.zeros(begin[-1], np.int32), np.zeros(begin[-1], np.float32)
+            for a in range(0, n, PACK):
+                b = min(n, a + PACK)
+                t, w = self.term[self.off[a] : self.off[b]], self.weight[self.off[a] : self.off[b]]
+                e = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(self.off[a : b + 1]))
+                c = column[t]
+                dense[e[c >= 0], c[c >= 0]] = w[c >= 0]
+                order = np.flatnonzero(c < 0)
+                order = order[np.argsort(t[order], kind="stable")]
+                own, many = np.unique(t[order], return_counts=True)
+                at = _spans(free[own], many)
+                example[at], value[at] = e[order], w[order]
+                free[own] += many
+            if n:
+                made = {"begin": begin, "length": length, "example": example, "value": value}
+                dense = dense.reshape(blocks, BLOCK, len(common))
+                self.made |= {**made, "column": column, "dense": dense, "maxima": dense.max(axis=1), "query": np.zeros(size)}
+        return self.made
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines (above 0) and these, largest first; exact."""
-        bound = np.zeros(self.blocks)
-        known = [(int(t), w) for t, w in zip(terms, weights) if int(t) in self.postings]
-        for t, w in known:
-            blocks, maxima, _ = self.maxima[t]
-            bound[blocks] += w * maxima
-        order = np.flatnonzero(bound > 0)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        best_e, best_c = np.zeros(0, int), np.zeros(0)
-        for a in range(0, len(order), 16):
-            if len(best_c) == k and bound[order[a]] < best_c[-1]:
-                break
-            opened = np.sort(order[a : a + 16])
-            place = np.full(self.blocks, -1)
-            place[opened] = np.arange(len(opened))
-            score = np.zeros(len(opened) * BLOCK)
-            for t, w in known:
-                blocks, _, starts = self.maxima[t]
-                examples, value = self.postings[t]
-                at = np.searchsorted(blocks, opened)
-                at = at[(at < len(blocks)) & (blocks[np.minimum(at, len(blocks) - 1)] == opened)]
-                for b in at:
-                    e = examples[starts[b] : starts[b + 1]]
-                    score[place[blocks[b]] * BLOCK + e % BLOCK] += w * value[starts[b] : starts[b + 1]]
-            hit = np.flatnonzero(score > 0)
-            e = opened[hit // BLOCK] * BLOCK + hit % BLOCK
-            e, c = np.concatenate([best_e, e]), np.concatenate([best_c, np.minimum(score[hit], 1.0)])
-            c, e = c[e != without], e[e != without]
-            top = np.lexsort((e, -c))[:k]
-            best_e, best_c = e[top], c[top]
-        return best_e, best_c
+        return self.top_many(np.array([0, len(terms)]), terms, weights, k)[0]
+
+    def top_many(self, off: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """top() of many queries, each the terms and weights from off to the next off."""
+        n, out = len(self.ids), []
+        if not n or not self.off[-1]:
+            return [(np.zeros(0, int), np.zeros(0))] * (len(off) - 1)
+        step = max(1, min(128, 4_000_000 // n))
+        for a in range(0, len(off) - 1, step):
+            o = off[a : a + step + 1]
+            out += self._top(o - o[0], terms[o[0] : o[-1]], weights[o[0] : o[-1]], k)
+        return out
+
+    def _top(self, off: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, n, nq = self._make(), len(self.ids), len(off) - 1
+        query = np.repeat(np.arange(nq), np.diff(off))
+        known = np.flatnonzero(terms < len(m["column"]))
+        column = m["column"][terms[known]]
+        q = np.zeros((nq, m["maxima"].shape[1]), np.float32)
+        common = column >= 0
+        q[query[known[common]], column[common]] = weights[known[common]]
+        wide = len(m["dense"]) * BLOCK
+        score = np.zeros((nq, wide), np.float32)
+        sparse = known[~common]
+        ends = np.searchsorted(query[sparse], np.arange(nq + 1))
+        for i in range(nq):  # one by one: their postings together could be large
+            rare = sparse[ends[i] : ends[i + 1]]
+            spans = list(zip(m["begin"][terms[rare]].tolist(), m["begin"][terms[rare] + 1].tolist()))
+            if spans:
+                value = np.concatenate([m["value"][a:b] for a, b in spans]) * np.repeat(weights[rare].astype(np.float32), m["length"][terms[rare]])
+                score[i] = np.bincount(np.concatenate([m["example"][a:b] for a, b in spans]), value, minlength=wide)
+        score = score.reshape(nq, -1, BLOCK)
+        # The k-th best of what the postings alone give, and of what is opened: no best one is below either.
+        least = np.partition(score.reshape(nq, -1), wide - min(k, wide), axis=1)[:, wide - min(k, wide)]
+        best = np.zeros((nq, k), np.float32)
+        bound = q @ m["maxima"].T + score.max(axis=2)
+        opened = np.zeros(bound.shape, bool)
+        for b in np.argsort(-bound.max(axis=0), kind="stable"):
+            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] + ROUNDING >= least))
+            if not len(some):
+                continue
+            opened[some, b] = True
+            now = score[some, b] + q[some] @ m["dense"][b].T
+            score[some, b] = now
+            better = now.max(axis=1) > least[some]
+            rows = some[better]
+            best[rows] = np.partition(np.concatenate([best[rows], now[better]], axis=1), BLOCK, axis=1)[:, BLOCK:]
+            least[rows] = np.maximum(least[rows], best[rows].min(axis=1))
+        out = []
+        for i in range(nq):
+            row = score[i].reshape(-1)[:n]
+            seen = np.repeat(opened[i], BLOCK)[:n]
+            hit = np.flatnonzero(seen & (row > 0))
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k] - ROUNDING]
+            t, w = terms[off[i] : off[i + 1]], weights[off[i] : off[i + 1]]
+            t, w = t[t < len(m["query"])], w[t < len(m["query"])]
+            m["query"][t] = w
+            length = self.off[hit + 1] - self.off[hit]
+            at = _spans(self.off[hit], length)
+            product = m["query"][self.term[at]] * self.weight[at]
+            m["query"][t] = 0
+            c = np.minimum(np.add.reduceat(product, np.cumsum(length) - length), 1.0) if len(hit) else np.zeros(0)
+            order = np.lexsort((hit, -c))[:k]
+            out.append((hit[order], c[order]))
+        return out
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    vocabulary: np.ndarray
-    idf: np.ndarray
+    vocabulary: np.ndarray  # every feature of the examples, sorted
+    scale: np.ndarray  # each feature's factor: its idf and how far it leans to the toxic side
+    strange: float  # the factor of a feature that no example has
     index: BlockMaxIndex
     prior: float
     bare: float  # the share of toxic ones among examples without any feature
@@ -164,9 +273,11 @@ class ToxicModel:
     neighbours: int
 
 
-def weigh(text: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """(1 + ln tf) * idf, normalised by text."""
-    w = (1 + np.log(count)) * idf[term]
+def weigh(text: np.ndarray, term: np.ndarray, count: np.ndarray, scale: np.ndarray, strange: float, n: int) -> np.ndarray:
+    """(1 + ln tf) * scale, normalised by text; terms of -1 are those that no example has."""
+    factor = np.full(len(term), strange)
+    factor[term >= 0] = scale[term[term >= 0]]
+    w = (1 + np.log(count)) * factor
     norm = np.sqrt(np.bincount(text, w * w, minlength=n))
     return w / norm[text] if len(text) else w
 
@@ -203,7 +314,6 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = SAMPLE,
-    vocabulary: int = VOCABULARY,
     neighbours: int = NEIGHBOURS,
 ) -> ToxicModel:
     """Learns from the rows of `docs` that `labels` (id, 0 or 1) names; pass only training rows as
@@ -214,112 +324,168 @@ def fit(
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     examples = texts.join(F.broadcast(some), "id").select("id", F.col("label").cast("int").alias("label"), "text")  # the sample's size is fixed
 
-    chosen = _choose(examples, vocabulary)
-    n_docs, df = _document_frequencies(texts, chosen)
+    examples = sampled(cut(examples), 2 * sample, examples.select("id").count(), F.col("id"), F.col("text")).coalesce(32)  # ids that repeat in docs could bring more
+    vocabulary = _features(examples)
+    n_docs, df = _document_frequencies(texts, vocabulary)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-
-    fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    rows = add_columns(examples, "text", lambda: _maker(chosen), fields, keep=["id", "label"])
-    rows = rows.orderBy("id", "label", "terms").limit(2 * sample).collect()  # ids that repeat in docs could bring more
-    # Examples with the same rarest term stand together, so that block maxima tell blocks apart.
-    rows.sort(key=lambda r: (max(r.terms, key=lambda t: (idf[t], t)) if r.terms else -1, str(r.id)))
-    y = np.array([float(r.label > 0) for r in rows])
-    example = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows]).astype(int)
-    term = np.array([t for r in rows for t in r.terms], int)
-    count = np.array([c for r in rows for c in r.counts], float)
-    weight = weigh(example, term, count, idf, len(rows))
-    index = BlockMaxIndex.build([r.id for r in rows], y, example, term, weight)
-    if not len(rows):
-        return ToxicModel(chosen, idf, index, 0.0, 0.0, 1.0, 0.0, neighbours)
+    strange = float(np.log((1 + n_docs) / 2) + 1)
+
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    fields = [T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
+    keys, terms, counts = [], [], []
+    for r in add_columns(examples, "text", lambda: _vectors(shared), fields, keep=["id", "label"]).toLocalIterator():  # the driver holds one partition's rows at a time
+        t, c = np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.int32)
+        keys.append((r.id, int(r.label > 0), hashlib.blake2b(r.terms + r.counts, digest_size=8).digest()))
+        terms.append(t)
+        counts.append(c)
+    if not keys:
+        return ToxicModel(vocabulary, idf, strange, BlockMaxIndex([], np.zeros(0), np.zeros(1, int)), 0.0, 0.0, 1.0, 0.0, neighbours)
+    y = np.array([float(k[1]) for k in keys])
+    scale = idf * _leaning(terms, y, len(vocabulary))
+    # Examples with the same common words stand together, so that block maxima tell blocks apart.
+    place = _placed(terms, len(vocabulary), sorted(range(len(keys)), key=lambda i: (str(keys[i][0]), *keys[i][1:])))
+    y, ids = y[place], [keys[i][0] for i in place]
+    index = BlockMaxIndex.pack(ids, y, [terms[i] for i in place], [counts[i] for i in place], scale)
+    del terms, counts
+    off = index.off
     prior = float(y.mean())
-    has = np.bincount(example, minlength=len(rows)) > 0
+    has = np.diff(off) > 0
     bare = float((y[~has].sum() + prior) / ((~has).sum() + 1))
-    ends = np.searchsorted(example, np.arange(len(rows) + 1))
-    held: dict[bytes, tuple] = {}
-    votes = np.full(len(rows), bare)
-    tried = np.arange(0, len(rows), max(1, len(rows) // CALIBRATION))
-    for i in tried[has[tried]]:
-        t, w = term[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]
-        key = t.tobytes() + w.tobytes()
-        if key not in held:
-            held[key] = index.top(t, w, neighbours + 1)
-        e, c = held[key]
-        other = e != i
-        votes[i] = vote(y[e[other][:neighbours]], c[other][:neighbours], prior)
-    slope, offset = _calibrate(votes[tried], y[tried])
-    return ToxicModel(chosen, idf, index, prior, bare, slope, offset, neighbours)
-
-
-def _maker(vocabulary: np.ndarray):
+    tried = np.arange(0, len(ids), max(1, len(ids) // CALIBRATION))
+    votes = _own_votes(docs.sparkSession, index, tried, prior, bare, neighbours)
+    slope, offset = _calibrate(votes, y[tried])
+    return ToxicModel(vocabulary, scale, strange, index, prior, bare, slope, offset, neighbours)
+
+
+def _features(examples: DataFrame) -> np.ndarray:
+    """All features of the examples, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            data, offs = column_bytes(batch.column(0))
+            for i, j in slices(offs, SLICE):
+                own = np.union1d(own, word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1])
+        for a in range(0, len(own), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 10_000].view(np.int64))], names=["h"])
+
+    rows = small_batches(examples).select("text").mapInArrow(run, "h long").distinct().toArrow()
+    return np.sort(rows["h"].to_numpy().view(np.uint64))
+
+
+def _vectors(shared):
     def vectors(data: np.ndarray, offs: np.ndarray):
-        terms: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        for i, j in slices(offs):
-            t, term, count = vocabulary_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocabulary)
+        terms: list[bytes] = []
+        counts: list[bytes] = []
+        for i, j in slices(offs, SLICE):
+            t, h, count = word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            term = find(shared.value, h)
+            order = np.lexsort((term, t))
+            term, count = term[order].astype(np.int32), count[order].astype(np.int32)
             ends = np.searchsorted(t, np.arange(j - i + 1))
-            terms += [term[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            counts += [count[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        return [pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+            terms += [term[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            counts += [count[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        return [terms, counts]
 
     return vectors
 
 
-def _choose(examples: DataFrame, most: int) -> np.ndarray:
-    """The features with the largest chi-square between the labels, toxic side, sorted by hash."""
-
-    def run(batches):
+def _leaning(terms: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Each feature's factor: 1, or more by the root of its chi-square where its share among toxic examples is larger."""
+    a, c = np.zeros(size), np.zeros(size)  # with the feature: toxic, other
+    for t, bad in zip(terms, y):
+        (a if bad else c)[t] += 1
+    bad, n = y.sum(), len(y)
+    if not 0 < bad < n:
+        return np.ones(size)
+    b, d = bad - a, n - bad - c
+    both = (a + c) * (b + d)
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum(both, 1) / (bad * (n - bad))
+    return np.where((a * (n - bad) > c * bad) & (both > 0), 1 + LEANING * np.sqrt(chi2), 1.0)
+
+
+def _placed(terms: list[np.ndarray], size: int, order: list[int]) -> np.ndarray:
+    """An order of the examples in which neighbours share common features: halves, and halves of
+    these down to a block, parted along the direction in which they differ most."""
+    held = np.zeros(size, np.int64)
+    for t in terms:
+        held[t] += 1
+    common = np.argsort(-held, kind="stable")[:256]
+    column = np.full(size, -1)
+    column[common] = np.arange(len(common))
+    x = np.zeros((len(order), len(common)), np.float32)
+    for r, i in enumerate(order):
+        at = column[terms[i]]
+        x[r, at[at >= 0]] = 1
+    out, left = [], [np.arange(len(order))]
+    while left:
+        part = left.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        z = x[part] - x[part].mean(axis=0)
+        v = np.linspace(1, 2, z.shape[1], dtype=np.float32)
+        for _ in range(8):
+            v = z.T @ (z @ v)
+            v /= max(float(np.linalg.norm(v)), 1e-12)
+        part = part[np.argsort(z @ v, kind="stable")]
+        half = (len(part) // BLOCK + 1) // 2 * BLOCK
+        left += [part[half:], part[:half]]
+    return np.array(order)[np.concatenate(out)] if out else np.zeros(0, int)
+
+
+def _own_votes(spark: SparkSession, index: BlockMaxIndex, tried: np.ndarray, prior: float, bare: float, neighbours: int) -> np.ndarray:
+    """The votes of the examples `tried`, each by its neighbours among the others."""
+    shared = index.sent(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: BlockMaxIndex = shared.value.open()
         for batch in batches:
-            from .textnum import column_bytes
-
-            data, offs = column_bytes(batch.column(1))
-            label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in slices(offs):
-                t, h, _ = word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                own, at = np.unique(h, return_inverse=True)
-                n = np.bincount(at, minlength=len(own))
-                bad = np.bincount(at, (label[i:j] > 0)[t], minlength=len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(bad.astype(np.int64))], names=["h", "n", "bad"])
-
-    total = examples.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("bad")).first()
-    n, bad = total.n, total.bad or 0
-    if not bad or bad == n:
-        return np.zeros(0, np.uint64)
-    by = small_batches(examples).select("label", "text").mapInArrow(run, "h long, n long, bad long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    a, c = F.col("bad"), F.col("n") - F.col("bad")  # with the feature: toxic, other
-    b, d = F.lit(bad) - a, F.lit(n - bad) - c
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (F.col("n") * F.lit(float(bad) * (n - bad)) * (F.lit(n) - F.col("n")))
-    good = by.filter((a >= LEAST_SUPPORT) & (F.col("n") < n) & (a * (n - bad) > c * bad * 3)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    rows = good.orderBy(F.desc("chi2"), "h").limit(most).select("h").collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+            own = batch.column(0).to_numpy()
+            length = m.off[own + 1] - m.off[own]
+            at = _spans(m.off[own], length)
+            found = m.top_many(np.append(0, np.cumsum(length)), m.term[at], m.weight[at].astype(float), neighbours + 1)
+            votes = [vote(m.labels[e[e != i][:neighbours]], c[e != i][:neighbours], prior) if m.off[i + 1] > m.off[i] else bare for i, (e, c) in zip(own, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes, pa.float64())], names=["i", "vote"])
+
+    rows = spark.createDataFrame(pa.table({"i": tried.astype(np.int64)})).repartition(32).mapInArrow(run, "i long, vote double").toArrow()
+    votes = np.zeros(len(index.ids))
+    votes[rows["i"].to_numpy()] = rows["vote"].to_numpy()
+    return votes[tried]
 
 
 def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     size = len(vocabulary)
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make():
-        def count(data: np.ndarray, offs: np.ndarray):
-            df = np.zeros(size + 1, np.int64)
-            df[size] = len(offs) - 1
-            for i, j in slices(offs):
-                _, term, _ = vocabulary_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocabulary)
-                df[:size] += np.bincount(term, minlength=size)[:size]
-            return np.arange(size + 1), df
-
-        return count
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            data, offs = column_bytes(batch.column(0))
+            df[size] += len(offs) - 1
+            for i, j in slices(offs, SLICE):
+                _, h, _ = word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                at = find(shared.value, h)
+                df[:size] += np.bincount(at[at >= 0], minlength=size)
+        some = np.flatnonzero(df)
+        for a in range(0, len(some), 10_000):
+            k = some[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], names=["k", "n"])
+
+    parts = small_batches(texts).select("text").mapInArrow(run, "k long, n long")
+    rows = parts.groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each feature of the vocabulary
     out = np.zeros(size + 1)
-    for r in counted(texts, "text", make).collect():  # a row for each feature of the vocabulary
-        out[r.k] = r.n
+    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
     return int(out[size]), out[:size]
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """`docs` with {prefix}score (0 to 1) and {prefix}evidence (the nearest examples: id, toxic, cosine)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    index, rest = model.index.sent(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(replace(model, index=None))
     evidence = T.ArrayType(T.StructType([T.StructField("example", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
     def make():
-        m: ToxicModel = shared.value
+        m: ToxicModel = replace(rest.value, index=index.value)
         held: dict[bytes, tuple[float, list]] = {}
 
         def calibrated(v: float) -> float:
@@ -327,8 +493,7 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: st
 
         bare = calibrated(m.bare)
 
-        def one(t: np.ndarray, w: np.ndarray) -> tuple[float, list]:
-            e, c = m.index.top(t, w, m.neighbours)
+        def judged(e: np.ndarray, c: np.ndarray) -> tuple[float, list]:
             if not len(e):
                 return bare, []
             near = [{"example": str(m.index.ids[i]), "toxic": int(m.index.labels[i]), "cosine": float(x)} for i, x in zip(e[:EVIDENCE], c[:EVIDENCE])]
@@ -336,17 +501,26 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: st
 
         def scores(data: np.ndarray, offs: np.ndarray):
             out, why = np.full(len(offs) - 1, bare), [[] for _ in range(len(offs) - 1)]
-            for i, j in slices(offs):
-                text, term, count = vocabulary_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m.vocabulary)
-                weight = weigh(text, term, count, m.idf, j - i)
+            for i, j in slices(offs, SLICE):
+                text, h, count = word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                term = find(m.vocabulary, h)
+                weight = weigh(text, term, count, m.scale, m.strange, j - i)
                 ends = np.searchsorted(text, np.arange(j - i + 1))
+                keys, new = {}, {}
                 for d in np.flatnonzero(np.diff(ends)):
                     a, b = ends[d], ends[d + 1]
-                    key = term[a:b].tobytes() + count[a:b].tobytes()
-                    if key not in held:
-                        if len(held) > 50_000:
-                            held.clear()
-                        held[key] = one(term[a:b], weight[a:b])
+                    keys[d] = hashlib.blake2b(h[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
+                    if keys[d] not in held:
+                        new.setdefault(keys[d], np.arange(a, b)[term[a:b] >= 0])
+                if len(held) > 50_000:
+                    held.clear()
+                    new = {keys[d]: np.arange(ends[d], ends[d + 1])[term[ends[d] : ends[d + 1]] >= 0] for d in keys}
+                if new:
+                    at = np.concatenate(list(new.values()))
+                    off = np.cumsum([0, *[len(x) for x in new.values()]])
+                    for key, (e, c) in zip(new, m.index.top_many(off, term[at], weight[at], m.neighbours)):
+                        held[key] = judged(e, c)
+                for d, key in keys.items():
                     out[i + d], why[i + d] = held[key]
             return [out, why]
 
