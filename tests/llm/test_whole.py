@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from turnspan.llm import toxicity
+from turnspan.llm import html_text, toxicity
 
 
 def test_copy_of_a_toxic_example_with_rare_words(spark):
@@ -32,3 +32,17 @@ def test_searches_equal_brute_force(monkeypatch, dense):
         cosine = x @ row
         want = np.sort(cosine[cosine > 0])[::-1][:15]
         assert np.allclose(c, want, atol=1e-6) and np.allclose(cosine[e], want, atol=1e-6)
+
+
+@pytest.mark.parametrize("shapes", [50_000, 0])
+def test_templates_of_a_host_beyond_the_eighth(spark, monkeypatch, shapes):
+    monkeypatch.setattr(html_text, "BROADCAST_SHAPES", shapes)
+    page = '<div class="t{k}"><p>The article of template {k}, in some words.</p></div><div class="x{k}"><p>{more}</p></div>'
+    rows = []
+    for n, k in enumerate("abcdefghijkl"):  # the later the template, the fewer pages
+        rows += [(100 * n + i, f"http://h.example/{n}/{i}", page.format(k=k, more="Side.")) for i in range(14 - n)]
+        rows.append((100 * n + 99, f"http://h.example/{n}/99", page.format(k=k, more="A long comment that is not named as one, longer than the article. " * 5)))
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for n, k in enumerate("abcdefghijkl"):
+        assert got[100 * n + 99].text == f"The article of template {k}, in some words.", k

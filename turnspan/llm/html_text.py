@@ -6,9 +6,10 @@
    weighed by what its name says.
 2. In Spark, each page votes for the path of its best container; votes and scores are summed by host
    and path (a partial aggregation, so a host with a third of all pages is no hot group).
-3. Every page is read again: of its host's paths, the one with the most votes that the page has text
-   under wins, and the page's text is all blocks under that path, without what is named as boilerplate
-   inside it. A page that has none of its host's paths keeps its own best container.
+3. Every page names the paths that it has text under (their set is its shape); each shape's paths are
+   joined with the votes of its host, all of them, and the one with the most votes wins. The page is
+   read again: its text is all blocks under that path, without what is named as boilerplate inside it.
+   A page that has none of its host's paths keeps its own best container.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined in page order by newlines.
@@ -21,6 +22,7 @@ other columns are not carried.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -33,8 +35,7 @@ from turnspan.session import cut
 
 from .batches import small_batches
 
-PATHS_A_HOST = 8
-BROADCAST_HOSTS = 50_000
+BROADCAST_SHAPES = 50_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -193,6 +194,19 @@ def text_under(blocks: list[tuple[str, _Node]], path: str) -> str:
     return "\n".join(t for t, n in blocks if n.path == path or n.path.startswith(inside))
 
 
+def paths_of(blocks: list[tuple[str, _Node]]) -> list[bytes]:
+    """MD5 of each path that text_under finds text by, sorted."""
+    found: set[bytes] = set()
+    for path in {n.path for _, n in blocks}:
+        h = hashlib.md5()
+        for i, step in enumerate(path.split(">")):
+            h.update((">" + step if i else step).encode("utf-8", "replace"))
+            found.add(h.digest())
+    if blocks:
+        found.add(hashlib.md5(b"").digest())
+    return sorted(found)
+
+
 def host_of(url: Column) -> Column:
     """The host of a url in lower case; '' where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
@@ -214,21 +228,31 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held: dict[tuple[str, bytes], list[bytes]] = {}
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            paths = paths_of(blocks_of(page.as_py() or ""))
+            held[host, hashlib.md5(b"".join(paths)).digest()] = paths
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.list_(pa.binary()))], names=["host", "shape", "paths"]
+        )
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shapes = [hashlib.md5(b"".join(paths_of(blocks_of(page.as_py() or "")))).digest() for page in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.binary())], names=["id", "url", "html", "host", "shape"])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, used = [], []
-        for page, paths in zip(batch.column(2), batch.column(3).to_pylist()):
+        for page, path in zip(batch.column(2), batch.column(3).to_pylist()):
             blocks = blocks_of(page.as_py() or "")
-            text, path = "", None
-            for candidate in paths or ():
-                text = text_under(blocks, candidate)
-                if text:
-                    path = candidate
-                    break
-            if not text:
+            if path is None:
                 path = best_path(container_scores(blocks))
-                text = text_under(blocks, path) if path is not None else ""
-            texts.append(text)
+            texts.append(text_under(blocks, path) if path is not None else "")
             used.append(path)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())],
@@ -236,21 +260,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int = PATHS_A_HOST) -> DataFrame:
-    """(host, paths): each host's voted paths, most votes first, then score, then name."""
+def shape_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, shape, path): for each host's pages of one shape, of the paths voted on the host that
+    they have text under, the one of most votes, then score, then name."""
     rows = small_batches(pages).select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
     votes = rows.mapInArrow(_votes, "host string, path string, votes long, score double")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.floor("score")).alias("s"), "path")))
-    return votes.groupBy("host").agg(F.transform(F.slice(ranked, 1, most), lambda x: x["path"]).alias("paths"))
+    votes = votes.select("host", F.unhex(F.md5(F.col("path").cast("binary"))).alias("at"), F.struct((-F.col("votes")).alias("v"), (-F.floor("score")).alias("s"), "path").alias("vote"))
+    shapes = rows.mapInArrow(_shapes, "host string, shape binary, paths array<binary>").dropDuplicates(["host", "shape"])
+    named = shapes.select("host", "shape", F.explode("paths").alias("at"))
+    return named.join(votes, ["host", "at"]).groupBy("host", "shape").agg(F.min("vote")["path"].alias("path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars, path), a row for each page; path: where its text was found."""
-    paths = cut(host_paths(pages, url_col, html_col))
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host"))
-    small = paths.count() <= BROADCAST_HOSTS  # at most PATHS_A_HOST short paths each
-    joined = rows.join(F.broadcast(paths) if small else paths, "host", "left").select("id", "url", "html", "paths")
+    paths = cut(shape_paths(pages, url_col, html_col))
+    small = paths.count() <= BROADCAST_SHAPES  # a path each
     id_type = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host"))
+    rows = rows.mapInArrow(_shaped, f"id {id_type}, url string, html string, host string, shape binary")
+    joined = rows.join(F.broadcast(paths) if small else paths, ["host", "shape"], "left").select("id", "url", "html", "path")
     out = joined.mapInArrow(_read, f"id {id_type}, url string, text string, n_chars long, path string")
     return out.toDF(id_col, url_col, "text", "n_chars", "path")
