@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from turnspan.llm import html_text, toxicity
+from turnspan.llm import html_text, toxicity, warc
 
 
 def test_copy_of_a_toxic_example_with_rare_words(spark):
@@ -46,3 +46,22 @@ def test_templates_of_a_host_beyond_the_eighth(spark, monkeypatch, shapes):
     assert len(got) == len(rows)
     for n, k in enumerate("abcdefghijkl"):
         assert got[100 * n + 99].text == f"The article of template {k}, in some words.", k
+
+
+def test_archives_larger_than_a_binary_file_may_be(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>page {i}</p>" * (i % 50)) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "some archives")
+    warc.write_archives(warc.plan_records(pages), path)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # Spark's own limit is 2 GB
+    try:
+        got = warc.read_archives(spark, path, run_bytes=700).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted(r.id for r in got) == list(range(300)) and all(r.intact for r in got)
+    assert all(r.type == "revisit" or bytes(r.payload).decode() == f"<p>page {r.id}</p>" * (r.id % 50) for r in got)
+
+
+def test_an_index_is_read_in_parts(monkeypatch):
+    monkeypatch.setattr(warc, "INDEX_BYTES", 37)
+    records = [(i, "é", warc.write_record(i, "é", b"x" * i, warc.digest_of(b"x" * i), None)) for i in range(40)]
+    assert [r["payload"] for *_, r in warc.read_archive(warc.BytesRanges(warc.pack(records)))] == [b"x" * i for i in range(40)]

@@ -4,7 +4,10 @@ An archive is a ZIP file of stored (uncompressed) members: `archive/data.warc.gz
 compressed one by one, and `indexes/index.cdx`, a line for each record with its offset and length.
 So a record is two small reads away from anyone who can read a range of bytes: the reader parses the
 end of the file, the central directory (ZIP64 included) and the index, and then reads each record
-where it lies; nothing is unpacked.
+where it lies; nothing is unpacked. In Spark, archives are listed without their content, the lines of
+their indexes are dealt out in runs of about `run_bytes`, and each record is read by its range, so an
+archive may be of any size. Ranges are read by pyarrow's file systems (RANGED); archives in other
+stores, which only Spark can open, are loaded whole and must be below Spark's 2 GB and fit in memory.
 
 Archives are written by Spark's own file writer, so any store that Spark reaches will do: a task
 builds each archive (`archive_bytes` at most, but for one record) as one row, and one row is one file.
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,11 @@ from .batches import small_batches
 
 ARCHIVE_BYTES = 32_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+RUN_BYTES = 8_000_000
+RUN_RECORDS = 5_000
+INDEX_BYTES = 4_000_000  # of an index read at once
+#: Schemes whose files pyarrow reads by ranges, and what it calls them.
+RANGED = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "abfs": "abfs", "abfss": "abfss"}
 LEAST_REVISIT_BYTES = 0
 _DATE = "2024-01-01T00:00:00Z"
 _NONE = "none"
@@ -214,16 +223,45 @@ def pack(records: list[tuple[int | None, str | None, bytes]], zip64: bool = Fals
     return out.getvalue()
 
 
-def read_archive(ranges: Ranges) -> Iterator[tuple[int, int, dict]]:
-    """(offset in the archive, length, record) for each line of the archive's index."""
+def index_entries(ranges: Ranges) -> Iterator[tuple[int, int]]:
+    """(offset in the archive, length) for each line of the archive's index, which is read in parts."""
     members = read_directory(ranges)
     base, size = stored(ranges, members, DATA)
-    for line in ranges.read(*stored(ranges, members, INDEX)).splitlines():
-        entry = json.loads(line)
-        if entry["offset"] < 0 or entry["offset"] + entry["length"] > size:
-            raise ValueError("an index line points outside its member")
-        at = base + entry["offset"]
-        yield at, entry["length"], parse_record(ranges.read(at, entry["length"]))
+    at, left = stored(ranges, members, INDEX)
+    rest = b""
+    while left or rest:
+        part = ranges.read(at, min(left, INDEX_BYTES))
+        at, left = at + len(part), left - len(part)
+        lines = (rest + part).split(b"\n")
+        rest = lines.pop() if left else b""
+        for line in lines:
+            if not line.strip():
+                continue
+            entry = json.loads(line)
+            if entry["offset"] < 0 or entry["offset"] + entry["length"] > size:
+                raise ValueError("an index line points outside its member")
+            yield base + entry["offset"], entry["length"]
+
+
+def read_archive(ranges: Ranges) -> Iterator[tuple[int, int, dict]]:
+    """(offset in the archive, length, record) for each line of the archive's index."""
+    for at, length in index_entries(ranges):
+        yield at, length, parse_record(ranges.read(at, length))
+
+
+def scheme_of(path: str) -> str:
+    head, colon, _ = path.partition(":/")
+    return head if colon else "file"
+
+
+def open_ranges(path: str):
+    """A file of a scheme in RANGED, opened for reading ranges; path as Spark names it."""
+    scheme = scheme_of(path)
+    if scheme == "file":
+        bare = path.removeprefix("file:")
+        return pyarrow.fs.LocalFileSystem().open_input_file("/" + bare.lstrip("/"))
+    system, bare = pyarrow.fs.FileSystem.from_uri(RANGED[scheme] + path[len(scheme) :])
+    return system.open_input_file(bare)
 
 
 # ---- Spark ----------------------------------------------------------------------------------
@@ -269,29 +307,61 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
 RECORD_SCHEMA = "path string, at long, length long, id long, url string, type string, digest string, refers_to long, payload_bytes long, intact boolean, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, run_bytes: int = RUN_BYTES) -> DataFrame:
     """The records of all archives under `path`, in RECORD_SCHEMA; intact: a response's payload has
     its digest. Without `payloads`, that column is null."""
+    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-
+    def records(name: str, found: Iterator[tuple[int, int, dict]]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+        rows, size = [], 0
+        for at, length, r in found:
+            intact = r["payload"] is None or digest_of(r["payload"]) == r["digest"]
+            rows.append((name, at, length, r["id"], r["url"], r["type"], r["digest"], r["refers_to"], r["payload_bytes"], intact, r["payload"] if payloads else None))
+            size += r["payload_bytes"]
+            if size > RUN_BYTES or len(rows) >= RUN_RECORDS:
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows, size = [], 0
-                for at, length, r in read_archive(BytesRanges(content.as_buffer())):
-                    intact = r["payload"] is None or digest_of(r["payload"]) == r["digest"]
-                    rows.append((name, at, length, r["id"], r["url"], r["type"], r["digest"], r["refers_to"], r["payload_bytes"], intact, r["payload"] if payloads else None))
-                    size += r["payload_bytes"]
-                    if size > 8_000_000 or len(rows) >= 5_000:
-                        yield out(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield out(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+                yield from records(name, read_archive(BytesRanges(content.as_buffer())))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(name: str, run: list[tuple[int, int]]) -> pa.RecordBatch:
+            at, length = zip(*run)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.list_(pa.int64())), pa.array([length], pa.list_(pa.int64()))], names=["path", "at", "length"])
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with open_ranges(name) as file:
+                    run, size = [], 0
+                    for at, length in index_entries(FileRanges(file)):
+                        if run and (size + length > run_bytes or len(run) >= RUN_RECORDS):
+                            yield out(name, run)
+                            run, size = [], 0
+                        run.append((at, length))
+                        size += length
+                    if run:
+                        yield out(name, run)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, length in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_ranges(name) as file:
+                    ranges = FileRanges(file)
+                    yield from records(name, ((a, n, parse_record(ranges.read(a, n))) for a, n in zip(at, length)))
+
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.agg(F.sum("length").alias("bytes"), F.min("path").alias("one")).first()
+    if listed.one is not None and scheme_of(listed.one) not in RANGED:
+        return files.select("path", "content").mapInArrow(whole, RECORD_SCHEMA)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(listed.bytes or 0) // ARCHIVE_BYTES))
+    dealt = files.select("path").mapInArrow(runs, "path string, at array<long>, length array<long>").repartition(tasks)
+    return dealt.mapInArrow(ranged, RECORD_SCHEMA)
