@@ -14,16 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .textnum import column_bytes
 
 
-ROWS = 1000
+BATCH_BYTES = 4_000_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Holds the session's Arrow batches to ROWS rows, as whole texts are sent in them; a lower
-    setting stays. Batches are counted by rows, so the default of 10,000 can be a gigabyte of texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key))
-    if not 0 < now <= ROWS:
-        conf.set(key, str(ROWS))
+    """Holds the Arrow batches of `df`'s session to BATCH_BYTES (or to one longer text), as whole
+    texts are sent in them; a lower setting stays. Spark has this as a setting of the session only,
+    read when a plan runs, so it is left in place."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(key)).rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -1,25 +1,27 @@
 """Toxicity by the nearest labelled examples.
 
-A text is a TF-IDF vector over the features of its words: whole lower-cased words and their first 3
-to 6 bytes. Every feature of the labelled examples is indexed, and document frequencies of these come
-from all documents; any other feature of a text adds to the text's norm, as one of a single document.
-Features that lean to the toxic side weigh more, by the root of their chi-square; none is left out.
+A text is a TF-IDF vector over its lower-cased words. Every word of the labelled examples is indexed,
+and document frequencies of these come from all documents; any other word of a text adds to the text's
+norm, as one of a single document. Words that lean to the toxic side weigh more, by the root of their
+chi-square; none is left out.
 
-The index holds the common features as dense blocks of examples, each with its largest weights (block
+The index holds the most common words as dense blocks of examples, each with its largest weights (block
 maxima), and the others as postings. A text's products with the postings are exact; with the maxima
 they bound what any example of a block can reach, and a block is opened only where that is not below
 the `neighbours`-th best product so far. What is found is computed again in double precision, so the
-cosines are exact. The neighbours vote with weights that fall with their distance; a logistic curve
-fitted on the examples' own (leave-one-out) votes calibrates the result, and the nearest examples are
-the evidence.
-
-The examples are a bounded sample (`sample` rows); everything else covers all data.
-
-Edge cases: a null or empty text, or one without any feature of the examples, is no neighbour of any
-example: its score is the calibrated share of toxic ones among examples without words; labels that are
-null or of unknown ids count for nothing; a text labelled more than once takes its highest label; without
-labels all scores are 0; ties among neighbours go to the earlier example; repeated rows get equal
-results; other columns are kept, whatever their names.
+cosines are exact. The neighbours vote with weights that fall with their distance, and the nearest
+examples are the evidence. A logistic curve makes the vote a score; it is fitted on labelled texts that
+are held apart: they are not in the index and have no part in its words and weights.
+
+The labelled texts are a bounded sample, `examples` of them for the index and `calibration` for the
+curve, half of either from the rarer class if it has so many; the curve weighs them back to the
+classes' true shares. Everything else covers all data.
+
+Edge cases: a null or empty text, or one without any word of the examples, is no neighbour of any
+example: its vote is the share of toxic examples; labels that are null or of unknown ids count for
+nothing; a text labelled more than once takes its highest label; without labels all scores are 0; ties
+among neighbours go to the earlier example; repeated rows get equal results; other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,44 +39,30 @@ from pyspark.sql import types as T
 
 from turnspan.session import cut
 
-from .batches import add_columns, sampled, small_batches
+from .batches import add_columns, free, sampled, small_batches
 from .textnum import ALNUM, Words, column_bytes, slices
 
-SAMPLE = 20_000
+EXAMPLES = 10_000  # labelled texts in the index
+CALIBRATION = 2_500  # other labelled texts, which fit the logistic curve
 NEIGHBOURS = 15
 BLOCK = 64
-SLICE = 1_000_000  # bytes of texts whose features are made at once
+SLICE = 1_000_000  # bytes of texts whose words are counted at once
 PACK = 512  # examples packed together
-DENSE = 1024  # features held as dense blocks; the others are postings
+DENSE = 1024  # words held as dense blocks; the others are postings
+QUERIES = 64  # texts searched together
+OPENED = 8  # blocks opened together
 ROUNDING = 1e-5  # more than single precision loses in a product
-LEANING = 1.0  # how much the root of chi-square adds to the weight of a feature
-PREFIXES = (3, 4, 5, 6)
+LEANING = 1.0  # how much the root of chi-square adds to the weight of a word
 EVIDENCE = 3
-CALIBRATION = 4000  # examples, about, that fit the logistic curve
 
 
 def word_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts, features, counts) of each text's distinct features, sorted by text and feature."""
+    """(texts, words, counts) of each text's distinct words, sorted by text and word."""
     w = Words(data, offs, ALNUM, fold=True)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(w.off))
-    _, first, word = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    # A text's words are counted first, and their features made once for each word of all texts.
+    own, word = np.unique(w.hashes(), return_inverse=True)
     text, word, count = _grouped(text, word, np.ones(len(word), np.int64))
-    some = Words.__new__(Words)
-    some.bytes, some.size, some.start, some.end, some.off = w.bytes, w.size, w.start[first], w.end[first], None
-    kinds = [(np.arange(len(first)), some.hashes())] + ([some.prefixes(k) for k in PREFIXES] if len(first) else [])
-    own, at = np.unique(np.concatenate([h for _, h in kinds]), return_inverse=True)
-    t, f, c, begin = [], [], [], 0
-    for words, h in kinds:
-        feature = np.full(len(first), -1)
-        feature[words] = at[begin : begin + len(h)]
-        begin += len(h)
-        has = np.flatnonzero(feature[word] >= 0)
-        t.append(text[has])
-        f.append(feature[word[has]])
-        c.append(count[has])
-    text, feature, count = _grouped(np.concatenate(t), np.concatenate(f), np.concatenate(c))
-    return text, own[feature], count
+    return text, own[word], count
 
 
 def _grouped(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +77,7 @@ def _grouped(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, n
 
 
 def find(vocabulary: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """The indexes of features in the sorted vocabulary; -1: not there."""
+    """The indexes of words in the sorted vocabulary; -1: not there."""
     if not len(vocabulary):
         return np.full(len(features), -1)
     own, back = np.unique(features, return_inverse=True)
@@ -196,12 +184,11 @@ class BlockMaxIndex:
 
     def top_many(self, off: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """top() of many queries, each the terms and weights from off to the next off."""
-        n, out = len(self.ids), []
-        if not n or not self.off[-1]:
+        out = []
+        if not len(self.ids) or not self.off[-1]:
             return [(np.zeros(0, int), np.zeros(0))] * (len(off) - 1)
-        step = max(1, min(128, 4_000_000 // n))
-        for a in range(0, len(off) - 1, step):
-            o = off[a : a + step + 1]
+        for a in range(0, len(off) - 1, QUERIES):
+            o = off[a : a + QUERIES + 1]
             out += self._top(o - o[0], terms[o[0] : o[-1]], weights[o[0] : o[-1]], k)
         return out
 
@@ -210,43 +197,40 @@ class BlockMaxIndex:
         query = np.repeat(np.arange(nq), np.diff(off))
         known = np.flatnonzero(terms < len(m["column"]))
         column = m["column"][terms[known]]
-        q = np.zeros((nq, m["maxima"].shape[1]), np.float32)
+        blocks, _, width = m["dense"].shape
+        wide = blocks * BLOCK
+        q = np.zeros((nq, width), np.float32)
         common = column >= 0
         q[query[known[common]], column[common]] = weights[known[common]]
-        wide = len(m["dense"]) * BLOCK
-        score = np.zeros((nq, wide), np.float32)
-        sparse = known[~common]
-        ends = np.searchsorted(query[sparse], np.arange(nq + 1))
-        for i in range(nq):  # one by one: their postings together could be large
-            rare = sparse[ends[i] : ends[i + 1]]
-            spans = list(zip(m["begin"][terms[rare]].tolist(), m["begin"][terms[rare] + 1].tolist()))
-            if spans:
-                value = np.concatenate([m["value"][a:b] for a, b in spans]) * np.repeat(weights[rare].astype(np.float32), m["length"][terms[rare]])
-                score[i] = np.bincount(np.concatenate([m["example"][a:b] for a, b in spans]), value, minlength=wide)
-        score = score.reshape(nq, -1, BLOCK)
+        rare = known[~common]
+        length = m["length"][terms[rare]]
+        at = _spans(m["begin"][terms[rare]], length)
+        cell = np.repeat(query[rare] * wide, length) + m["example"][at]
+        score = np.bincount(cell, m["value"][at] * np.repeat(weights[rare], length), minlength=nq * wide).astype(np.float32).reshape(nq, wide)
         # The k-th best of what the postings alone give, and of what is opened: no best one is below either.
-        least = np.partition(score.reshape(nq, -1), wide - min(k, wide), axis=1)[:, wide - min(k, wide)]
+        least = np.partition(score, wide - min(k, wide), axis=1)[:, wide - min(k, wide)]
         best = np.zeros((nq, k), np.float32)
-        bound = q @ m["maxima"].T + score.max(axis=2)
+        bound = q @ m["maxima"].T + score.reshape(nq, blocks, BLOCK).max(axis=2)
         opened = np.zeros(bound.shape, bool)
-        for b in np.argsort(-bound.max(axis=0), kind="stable"):
-            some = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] + ROUNDING >= least))
-            if not len(some):
+        order = np.argsort(-bound.max(axis=0), kind="stable")
+        for i in range(0, blocks, OPENED):
+            some = order[i : i + OPENED]
+            rows = np.flatnonzero(((bound[:, some] > 0) & (bound[:, some] + ROUNDING >= least[:, None])).any(axis=1))
+            if not len(rows):
                 continue
-            opened[some, b] = True
-            now = score[some, b] + q[some] @ m["dense"][b].T
-            score[some, b] = now
-            better = now.max(axis=1) > least[some]
-            rows = some[better]
-            best[rows] = np.partition(np.concatenate([best[rows], now[better]], axis=1), BLOCK, axis=1)[:, BLOCK:]
+            opened[rows[:, None], some] = True
+            cells = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            now = score[rows[:, None], cells] + q[rows] @ m["dense"][some].reshape(len(cells), width).T
+            score[rows[:, None], cells] = now
+            better = now.max(axis=1) > least[rows]
+            rows = rows[better]
+            best[rows] = np.partition(np.concatenate([best[rows], now[better]], axis=1), len(cells), axis=1)[:, len(cells) :]
             least[rows] = np.maximum(least[rows], best[rows].min(axis=1))
+        score[~np.repeat(opened, BLOCK, axis=1)] = 0
         out = []
+        floor = np.maximum(least - 2 * ROUNDING, 0)
         for i in range(nq):
-            row = score[i].reshape(-1)[:n]
-            seen = np.repeat(opened[i], BLOCK)[:n]
-            hit = np.flatnonzero(seen & (row > 0))
-            if len(hit) > k:
-                hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k] - ROUNDING]
+            hit = np.flatnonzero(score[i, :n] > floor[i])
             t, w = terms[off[i] : off[i + 1]], weights[off[i] : off[i + 1]]
             t, w = t[t < len(m["query"])], w[t < len(m["query"])]
             m["query"][t] = w
@@ -262,12 +246,11 @@ class BlockMaxIndex:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    vocabulary: np.ndarray  # every feature of the examples, sorted
-    scale: np.ndarray  # each feature's factor: its idf and how far it leans to the toxic side
-    strange: float  # the factor of a feature that no example has
+    vocabulary: np.ndarray  # every word of the examples, sorted
+    scale: np.ndarray  # each word's factor: its idf and how far it leans to the toxic side
+    strange: float  # the factor of a word that no example has
     index: BlockMaxIndex
-    prior: float
-    bare: float  # the share of toxic ones among examples without any feature
+    prior: float  # the share of toxic examples
     slope: float
     offset: float
     neighbours: int
@@ -293,14 +276,14 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def _calibrate(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """A logistic curve on the votes' logits, by Newton steps with a small penalty."""
     x = np.stack([_logit(votes), np.ones(len(votes))], axis=1)
     b, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (y - p) - 1.0 * (b - start)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), g)
+        g = x.T @ (weight * (y - p)) - 1.0 * (b - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2), g)
         b = b + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
@@ -313,52 +296,61 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample: int = SAMPLE,
+    examples: int = EXAMPLES,
+    calibration: int = CALIBRATION,
     neighbours: int = NEIGHBOURS,
 ) -> ToxicModel:
     """Learns from the rows of `docs` that `labels` (id, 0 or 1) names; pass only training rows as
     `labels`. Document frequencies are of all `docs`."""
+    spark = docs.sparkSession
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter("id is not null and label is not null")
-    known = known.groupBy("id").agg(F.max("label").alias("label"))
-    some = sampled(known, sample, known.count(), F.col("id"))
+    known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    examples = texts.join(F.broadcast(some), "id").select("id", F.col("label").cast("int").alias("label"), "text")  # the sample's size is fixed
-
-    examples = sampled(cut(examples), 2 * sample, examples.select("id").count(), F.col("id"), F.col("text")).coalesce(32)  # ids that repeat in docs could bring more
-    vocabulary = _features(examples)
+    # Half of the sample from either class; what one class can't fill goes to the other.
+    most = examples + calibration
+    rarer = min(most // 2, min(sizes.get(0, 0), sizes.get(1, 0)))
+    parts = [sampled(known.filter(F.col("label") == x), rarer if n <= min(sizes.values()) and len(sizes) > 1 else most - rarer, n, F.col("id")) for x, n in sorted(sizes.items())]
+    if not parts:
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), 1.0, BlockMaxIndex([], np.zeros(0), np.zeros(1, int)), 0.0, 1.0, 0.0, neighbours)
+    some = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    some = some.withColumn("apart", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(most)) < calibration)
+    picked = cut(texts.join(F.broadcast(some), "id").select("id", "label", "apart", "text"))  # the sample's size is fixed
+    picked = sampled(picked, 2 * most, picked.count(), F.col("id"), F.col("text")).coalesce(16)  # ids that repeat in docs could bring more
+    indexed, apart = picked.filter("not apart"), picked.filter("apart")
+    vocabulary = _vocabulary(indexed)
     n_docs, df = _document_frequencies(texts, vocabulary)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     strange = float(np.log((1 + n_docs) / 2) + 1)
 
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary)
     fields = [T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
     keys, terms, counts = [], [], []
-    for r in add_columns(examples, "text", lambda: _vectors(shared), fields, keep=["id", "label"]).toLocalIterator():  # the driver holds one partition's rows at a time
+    for r in add_columns(indexed, "text", lambda: _vectors(shared), fields, keep=["id", "label"]).toLocalIterator():  # the driver holds one partition's rows at a time
         t, c = np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.int32)
-        keys.append((r.id, int(r.label > 0), hashlib.blake2b(r.terms + r.counts, digest_size=8).digest()))
+        keys.append((r.id, r.label, hashlib.blake2b(r.terms + r.counts, digest_size=8).digest()))
         terms.append(t)
         counts.append(c)
-    if not keys:
-        return ToxicModel(vocabulary, idf, strange, BlockMaxIndex([], np.zeros(0), np.zeros(1, int)), 0.0, 0.0, 1.0, 0.0, neighbours)
     y = np.array([float(k[1]) for k in keys])
     scale = idf * _leaning(terms, y, len(vocabulary))
     # Examples with the same common words stand together, so that block maxima tell blocks apart.
     place = _placed(terms, len(vocabulary), sorted(range(len(keys)), key=lambda i: (str(keys[i][0]), *keys[i][1:])))
-    y, ids = y[place], [keys[i][0] for i in place]
-    index = BlockMaxIndex.pack(ids, y, [terms[i] for i in place], [counts[i] for i in place], scale)
+    ids = [keys[i][0] for i in place]
+    index = BlockMaxIndex.pack(ids, y[place], [terms[i] for i in place], [counts[i] for i in place], scale)
     del terms, counts
-    off = index.off
-    prior = float(y.mean())
-    has = np.diff(off) > 0
-    bare = float((y[~has].sum() + prior) / ((~has).sum() + 1))
-    tried = np.arange(0, len(ids), max(1, len(ids) // CALIBRATION))
-    votes = _own_votes(docs.sparkSession, index, tried, prior, bare, neighbours)
-    slope, offset = _calibrate(votes, y[tried])
-    return ToxicModel(vocabulary, scale, strange, index, prior, bare, slope, offset, neighbours)
+    model = ToxicModel(vocabulary, scale, strange, index, float(y.mean()) if len(y) else 0.0, 1.0, 0.0, neighbours)
+    tried = _votes(apart, model, "text", ["label"], "v").select("label", "vvote").toArrow()  # of the sample's fixed size
+    labelled = tried["label"].to_numpy()
+    if not len(ids) or not 0 < labelled.sum() < len(labelled):
+        return model
+    share = np.array([sizes.get(0, 0), sizes.get(1, 0)]) / sum(sizes.values())
+    back = share / np.maximum(np.bincount(labelled, minlength=2) / len(labelled), 1e-12)
+    slope, offset = _calibrate(tried["vvote"].to_numpy(), labelled, back[labelled])
+    return replace(model, slope=slope, offset=offset)
 
 
-def _features(examples: DataFrame) -> np.ndarray:
-    """All features of the examples, sorted."""
+def _vocabulary(examples: DataFrame) -> np.ndarray:
+    """All words of the examples, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
@@ -391,8 +383,8 @@ def _vectors(shared):
 
 
 def _leaning(terms: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Each feature's factor: 1, or more by the root of its chi-square where its share among toxic examples is larger."""
-    a, c = np.zeros(size), np.zeros(size)  # with the feature: toxic, other
+    """Each word's factor: 1, or more by the root of its chi-square where its share among toxic examples is larger."""
+    a, c = np.zeros(size), np.zeros(size)  # with the word: toxic, other
     for t, bad in zip(terms, y):
         (a if bad else c)[t] += 1
     bad, n = y.sum(), len(y)
@@ -405,7 +397,7 @@ def _leaning(terms: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
 
 
 def _placed(terms: list[np.ndarray], size: int, order: list[int]) -> np.ndarray:
-    """An order of the examples in which neighbours share common features: halves, and halves of
+    """An order of the examples in which neighbours share common words: halves, and halves of
     these down to a block, parted along the direction in which they differ most."""
     held = np.zeros(size, np.int64)
     for t in terms:
@@ -434,26 +426,6 @@ def _placed(terms: list[np.ndarray], size: int, order: list[int]) -> np.ndarray:
     return np.array(order)[np.concatenate(out)] if out else np.zeros(0, int)
 
 
-def _own_votes(spark: SparkSession, index: BlockMaxIndex, tried: np.ndarray, prior: float, bare: float, neighbours: int) -> np.ndarray:
-    """The votes of the examples `tried`, each by its neighbours among the others."""
-    shared = index.sent(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: BlockMaxIndex = shared.value.open()
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            length = m.off[own + 1] - m.off[own]
-            at = _spans(m.off[own], length)
-            found = m.top_many(np.append(0, np.cumsum(length)), m.term[at], m.weight[at].astype(float), neighbours + 1)
-            votes = [vote(m.labels[e[e != i][:neighbours]], c[e != i][:neighbours], prior) if m.off[i + 1] > m.off[i] else bare for i, (e, c) in zip(own, found)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes, pa.float64())], names=["i", "vote"])
-
-    rows = spark.createDataFrame(pa.table({"i": tried.astype(np.int64)})).repartition(32).mapInArrow(run, "i long, vote double").toArrow()
-    votes = np.zeros(len(index.ids))
-    votes[rows["i"].to_numpy()] = rows["vote"].to_numpy()
-    return votes[tried]
-
-
 def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     size = len(vocabulary)
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
@@ -473,14 +445,14 @@ def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[int
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], names=["k", "n"])
 
     parts = small_batches(texts).select("text").mapInArrow(run, "k long, n long")
-    rows = parts.groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each feature of the vocabulary
+    rows = parts.groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the vocabulary
     out = np.zeros(size + 1)
     out[rows["k"].to_numpy()] = rows["n"].to_numpy()
     return int(out[size]), out[:size]
 
 
-def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
-    """`docs` with {prefix}score (0 to 1) and {prefix}evidence (the nearest examples: id, toxic, cosine)."""
+def _votes(docs: DataFrame, model: ToxicModel, text_col: str, keep: list[str] | None, prefix: str) -> DataFrame:
+    """`docs` with {prefix}vote and {prefix}evidence (the nearest examples: id, toxic, cosine)."""
     index, rest = model.index.sent(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(replace(model, index=None))
     evidence = T.ArrayType(T.StructType([T.StructField("example", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
@@ -488,33 +460,25 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: st
         m: ToxicModel = replace(rest.value, index=index.value)
         held: dict[bytes, tuple[float, list]] = {}
 
-        def calibrated(v: float) -> float:
-            return float(1 / (1 + np.exp(-(m.slope * _logit(v) + m.offset)))) if len(m.index.ids) else 0.0
-
-        bare = calibrated(m.bare)
-
         def judged(e: np.ndarray, c: np.ndarray) -> tuple[float, list]:
-            if not len(e):
-                return bare, []
             near = [{"example": str(m.index.ids[i]), "toxic": int(m.index.labels[i]), "cosine": float(x)} for i, x in zip(e[:EVIDENCE], c[:EVIDENCE])]
-            return calibrated(vote(m.index.labels[e], c, m.prior)), near
+            return vote(m.index.labels[e], c, m.prior), near
 
-        def scores(data: np.ndarray, offs: np.ndarray):
-            out, why = np.full(len(offs) - 1, bare), [[] for _ in range(len(offs) - 1)]
+        def votes(data: np.ndarray, offs: np.ndarray):
+            out, why = np.full(len(offs) - 1, m.prior), [[] for _ in range(len(offs) - 1)]
             for i, j in slices(offs, SLICE):
                 text, h, count = word_features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 term = find(m.vocabulary, h)
                 weight = weigh(text, term, count, m.scale, m.strange, j - i)
                 ends = np.searchsorted(text, np.arange(j - i + 1))
-                keys, new = {}, {}
-                for d in np.flatnonzero(np.diff(ends)):
-                    a, b = ends[d], ends[d + 1]
-                    keys[d] = hashlib.blake2b(h[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
-                    if keys[d] not in held:
-                        new.setdefault(keys[d], np.arange(a, b)[term[a:b] >= 0])
                 if len(held) > 50_000:
                     held.clear()
-                    new = {keys[d]: np.arange(ends[d], ends[d + 1])[term[ends[d] : ends[d + 1]] >= 0] for d in keys}
+                keys, new = {}, {}  # equal texts are searched for once
+                for d in np.flatnonzero(np.diff(ends)).tolist():
+                    a, b = ends[d], ends[d + 1]
+                    keys[d] = hashlib.blake2b(h[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()
+                    if keys[d] not in held and keys[d] not in new:
+                        new[keys[d]] = np.arange(a, b)[term[a:b] >= 0]
                 if new:
                     at = np.concatenate(list(new.values()))
                     off = np.cumsum([0, *[len(x) for x in new.values()]])
@@ -524,6 +488,15 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: st
                     out[i + d], why[i + d] = held[key]
             return [out, why]
 
-        return scores
+        return votes
+
+    return add_columns(docs, text_col, make, [T.StructField(f"{prefix}vote", T.DoubleType()), T.StructField(f"{prefix}evidence", evidence)], keep)
+
 
-    return add_columns(docs, text_col, make, [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}evidence", evidence)], keep)
+def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+    """`docs` with {prefix}score (0 to 1) and {prefix}evidence (the nearest examples: id, toxic, cosine)."""
+    free(docs if keep is None else docs.select(*[F.col(f"`{c}`") for c in keep]), f"{prefix}score")
+    voted = _votes(docs, model, text_col, keep, prefix)
+    p = F.least(F.greatest(F.col(f"{prefix}vote"), F.lit(1e-4)), F.lit(1 - 1e-4))
+    found = 1 / (1 + F.exp(-(model.slope * F.log(p / (1 - p)) + model.offset))) if model.index.ids else F.lit(0.0)
+    return voted.withColumn(f"{prefix}score", found).drop(f"{prefix}vote")
