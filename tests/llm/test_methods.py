@@ -185,9 +185,27 @@ def test_blocks_change_nothing(spark, monkeypatch):
         copy[i] = f"x{i}"
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(neardup, "TILE", 8)
-    monkeypatch.setattr(neardup, "TILE_TEXTS", 7)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 7)
     assert {r.class_id for r in neardup.classes(df).collect()} == {0}
+    # A chain, whose ends are far apart, and texts that share a passage but are no copies.
+    chain, rows = base[:], []
+    for i in range(40):
+        chain = chain[:]
+        chain[(i * 7) % 100] = f"y{i}"
+        rows.append((i, " ".join(chain)))
+    rows += [(100 + i, " ".join([f"z{rng.randrange(10**6)}" for _ in range(70)] + base[:30])) for i in range(40)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 100 else i for i, _ in rows}
+
+
+def test_rows_of_one_id(spark):
+    a, b, c = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [("1", a), ("5", a), ("5", b), ("5", c), ("7", c), ("7", c), (None, c), ("8", None), ("9", "!!! ???"), ("10", "!!! ???"), ("8", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted((r.doc_id or "", r.text or "") for r in neardup.deduplicate(df).collect())
+    assert got == sorted([("1", a), ("5", b), ("5", c), ("", c), ("8", ""), ("8", ""), ("10", "!!! ???")])
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classes(df).collect() if r.doc_id) == sorted([("1", "1"), ("5", "1"), ("5", "5"), ("5", "5"), ("7", "5"), ("7", "5"), ("8", "8"), ("9", "10"), ("10", "10"), ("8", "8")])
 
 
 def test_components(spark):

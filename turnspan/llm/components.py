@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnspan.session import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long): root is the least id of its component.
 
     Each round hangs larger neighbours on a node's least neighbour, then smaller ones, until every
@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # a number of rounds that grows with the logarithm of the nodes
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Least ids are written before they are joined: a join of two shuffled tables is one that
         # adaptive execution can split at a node with very many neighbours.
@@ -31,7 +31,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if before == now:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

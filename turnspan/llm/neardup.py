@@ -1,39 +1,44 @@
 """Near duplicates by BagMinHash signatures of word shingles, banded and verified.
 
-A text is the multiset of its five-word shingles (words are what white space parts). Its signature
-has 128 components that agree between two texts with the probability of their weighted Jaccard
-similarity. Each shingle's weight axis is cut into dyadic intervals (0, 1], (1, 2], (2, 4], ..., and
-each interval has a Poisson process of its own, seeded by shingle and interval; a point's place in
-its interval decides whether it lies below the shingle's count, and a random component takes the
-earliest of its points. Points are made only up to a time by which all components of a text are
-taken (about M ln M points in all, however long the text), and further for the few texts where one
-is still open, so a signature costs one random number for most shingles.
+A text is the multiset of its five-word shingles. Words are runs of ASCII letters and digits and of
+characters beyond ASCII, with A-Z in lower case; a text of none has what white space parts as words.
+A signature has 128 components that agree between two texts with the probability of their weighted
+Jaccard similarity (see `similarity`). Each shingle's weight axis is cut into dyadic intervals (0, 1],
+(1, 2], (2, 4], ..., and each interval has a Poisson process of its own, seeded by shingle and
+interval; a point's place in its interval decides whether it lies below the shingle's count, and a
+random component takes the earliest of its points. Points are made only up to a time by which all
+components of a text are taken (about M ln M points in all, however long the text), and further for
+the few texts where one is still open, so a signature costs one random number for most shingles.
 
 Stages, each of them distributed:
-1. equal texts become one (a partial aggregation by a 128-bit hash), as do equal signatures;
-2. signatures fall into 25 bands of 5 components; in each bucket of two or more, pairs whose
-   signatures agree in 65 % are candidates (0.8 minus more than four standard deviations);
+1. equal texts become one node (a partial aggregation by their MD5), as do equal signatures;
+2. signatures fall into 25 bands of 5 components; in each bucket of two or more, signatures that
+   agree in 65 % are candidates (0.8 minus more than four standard deviations);
 3. the candidates' connected components bring the texts that must meet together, each text once;
 4. there, pairs are verified by their exact multiset overlap, those of one class already excepted;
 5. classes are the connected components of the verified links.
 
-A bucket or component too large for a task is cut into blocks, and every two blocks meet in a task
-of their own, so memory is bounded and no pair is left out. A pair at the threshold is missed with
-a probability of 5e-5 (no common band); above 0.85, 1e-6.
-
-Edge cases: a text of fewer than five words is one shingle; a null or empty text, or one without a
-word, is in a class of its own; rows of one id count as one document; a row without an id has no
-class; an empty table gives no rows.
+A bucket or component too large for a task is cut into blocks, whose members are linked inside; one
+representative of each class of a block goes on to the next round, again in blocks, as long as that
+joins classes. So a large group of copies ends as one class after as many comparisons as it has
+members, times a constant. Only members of different classes are then still to be compared: blocks
+of all but the largest class meet all blocks, two by two, in tasks of their own, so memory is bounded
+and no pair is left out. A pair at the threshold is missed with a probability of 5e-5 (no common
+band); above 0.85, 1e-6.
+
+Edge cases: a text of fewer than five words is one shingle; a null or empty text, or one of white
+space only, is in a class of its own; ids may be of any type that has an order, and may repeat: each
+row has the class of its own text, named by the least id in it (two classes of one least id have one
+name, but remain two for `deduplicate`); a row without an id has no class; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +46,31 @@ from turnspan.session import cut
 
 from .batches import add_columns
 from .components import components
-from .textnum import SOLID, U64, Words, column_bytes, mix, slices, windows
+from .textnum import ALNUM, SOLID, U64, Words, column_bytes, mix, slices, windows
 
 WORDS = 5
 COMPONENTS = 128
 BANDS, BAND_ROWS = 25, 5
-LEAST_EQUAL = 83  # of 128 components
-TILE = 1024  # rows of a bucket that meet in one task
-TILE_TEXTS, TILE_BYTES = 512, 8_000_000  # texts of a component that meet in one task
+LEAST_EQUAL = 83  # of 128 components: a similarity of 0.65
+BLOCK_ROWS = 1024  # rows of a bucket that meet in one task
+BLOCK_TEXTS, BLOCK_BYTES = 512, 8_000_000  # texts of a component that meet in one task
+BROADCAST_ROWS = 200_000  # of (id, content, node)
 _LOW48 = U64((1 << 48) - 1)
 
 
+def similarity(equal: np.ndarray) -> np.ndarray:
+    """The unbiased estimate of the weighted Jaccard similarity from the number of equal components:
+    a component is one byte, and unequal ones meet in one of 256."""
+    return (equal / COMPONENTS - 1 / 256) / (1 - 1 / 256)
+
+
+def words_of(data: np.ndarray, offs: np.ndarray) -> Words:
+    return Words(data, offs, ALNUM, fold=True, other=SOLID)
+
+
 def shingle_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sorted (text << 48 | hash) of all shingles of at most 65,536 texts."""
-    w = Words(data, offs, SOLID)
+    w = words_of(data, offs)
     h, begin = windows(w.hashes(), w.off, WORDS, short=True)
     text = np.searchsorted(w.off, begin, side="right") - 1
     return np.sort((text.astype(np.uint64) << U64(48)) | (h & _LOW48))
@@ -114,14 +130,11 @@ def bag_minhash(data: np.ndarray, offs: np.ndarray, m: int = COMPONENTS) -> tupl
 
 def _signatures():
     def make(data: np.ndarray, offs: np.ndarray):
-        content = [hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
         rows: list[bytes | None] = []
-        for i, j in slices(offs, 3_000_000):
-            for a in range(i, j, 60_000):
-                b = min(j, a + 60_000)
-                signature, size = bag_minhash(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                rows += [s.tobytes() if k else None for s, k in zip(signature, size)]
-        return [content, rows]
+        for i, j in slices(offs, 3_000_000, 60_000):
+            signature, size = bag_minhash(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            rows += [s.tobytes() if k else None for s, k in zip(signature, size)]
+        return [rows]
 
     return make
 
@@ -190,12 +203,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, node, sig) in groups to (u, v): a star for each component of candidates in a group."""
+    """(g, node, kin, sig) in groups to (u, v): a star for each component of candidates in a group."""
     for t in _groups(batches):
         g, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-        order = np.lexsort((node, g))  # the least row of a component is its least id
+        order = np.lexsort((node, g))  # the least row of a component is its least node
         g, node = g[order], node[order]
-        a, b, _ = _alike(_matrix(t.column(2))[order], g)
+        a, b, _ = _alike(_matrix(t.column(3))[order], g)
         label = _least_labels(len(g), a, b)
         hung = np.flatnonzero(label != np.arange(len(g)))
         yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"])
@@ -203,7 +216,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bag_of(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """Each text's shingle occurrences as a sorted set: equal shingles are told apart by their rank."""
-    w = Words(data, offs, SOLID)
+    w = words_of(data, offs)
     h, begin = windows(w.hashes(), w.off, WORDS, short=True)
     text = np.searchsorted(w.off, begin, side="right") - 1
     order = np.lexsort((h, text))
@@ -231,16 +244,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, node, sig, text) in groups to (u, v): a star for each class of verified links in a group."""
+    """(g, node, kin, sig, text) in groups to (u, v): a star for each class of verified links in a
+    group. Rows of one kin are known to be of one class."""
     for t in _groups(batches):
-        g, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+        g, node, kin = (t.column(i).to_numpy() for i in range(3))
         order = np.lexsort((node, g))
-        g, node = g[order], node[order]
-        data, offs = column_bytes(t.column(3).combine_chunks())
+        g, node, kin = g[order], node[order], kin[order]
+        data, offs = column_bytes(t.column(4).combine_chunks())
         bags: list[np.ndarray] = []
         for i, j in slices(offs):
             bags += bag_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        a, b, equal = _alike(_matrix(t.column(2))[order], g)
+        a, b, equal = _alike(_matrix(t.column(3))[order], g)
         root = list(range(len(g)))
 
         def find(x: int) -> int:
@@ -249,6 +263,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = root[x]
             return x
 
+        first: dict[tuple[int, int], int] = {}
+        for x, key in enumerate(zip(g.tolist(), kin.tolist())):
+            root[x] = first.setdefault(key, x)
         best = np.argsort(-equal, kind="stable")
         for x, y in zip(a[best].tolist(), b[best].tolist()):
             p, q = find(x), find(y)
@@ -256,67 +273,117 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 root[max(p, q)] = min(p, q)
         label = np.array([find(x) for x in range(len(g))], dtype=np.int64)
         hung = np.flatnonzero(label != np.arange(len(g)))
-        yield pa.RecordBatch.from_arrays([pa.array(g[hung]), pa.array(node[hung]), pa.array(node[label[hung]])], names=["g", "u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"])
 
 
-def _tiles(df: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Sends each row to the tasks of its block: g names two blocks of one key (the same, if there is one)."""
-    own = f"pmod(xxhash64(node, 7L), {blocks})"
-    tiles = f"if({blocks} = 1, array(xxhash64({key})), transform(sequence(0L, {blocks} - 1), j -> xxhash64({key}, least(j, {own}), greatest(j, {own}))))"
-    return df.withColumn("g", F.explode(F.expr(tiles)))
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id), a row for each row of `docs`: class_id is the least id of the class."""
+def _blocks(df: DataFrame, tasks: str, level: int) -> DataFrame:
+    """Adds g: the block of its key that a row is in."""
+    return df.withColumn("g", F.expr(f"xxhash64(key, {level}, pmod(xxhash64(node, {level}), cast(ceil({tasks}) as bigint)))"))
+
+
+def _linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel: Kernel, most_rows: int, most_bytes: int) -> DataFrame:
+    """(u, v): links that join all rows (node, key, bytes) which the kernel joins, directly or through
+    others, in the groups of one key. attach() adds the columns that the kernel compares to (g, node, kin)."""
+
+    def met(df: DataFrame) -> DataFrame:
+        dealt = attach(df.select("g", "node", "kin")).repartition(F.col("g")).sortWithinPartitions("g")
+        return dealt.mapInArrow(kernel, "u long, v long")
+
+    tasks = F.greatest(F.count(F.lit(1)) / most_rows, F.sum("bytes") / most_bytes).alias("tasks")
+    sizes = cut(rows.groupBy("key").agg(tasks))
+    rows = rows.join(sizes, "key")
+    links = cut(met(_blocks(rows.withColumn("kin", F.col("node")), "tasks", 0)))
+    if sizes.filter("tasks > 1").isEmpty():
+        return links
+    large, last, level = cut(rows.filter("tasks > 1").select("node", "key", "bytes")), None, 0
+    while True:
+        roots = components(links)
+        placed = cut(large.join(roots, "node", "left").select("node", "key", "bytes", F.coalesce("root", "node").alias("kin")))
+        classes_ = cut(placed.groupBy("key", "kin").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")))
+        several = cut(classes_.groupBy("key").agg(tasks, F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+        now = several.agg(F.sum("classes")).first()[0] or 0
+        if now == 0:
+            return links
+        if last is not None and 2 * now > last:
+            break
+        last, level = now, level + 1
+        links = cut(links.unionByName(met(_blocks(classes_.join(several, "key"), "tasks", level))))
+    # What is left: rows of different classes. Blocks of the largest class don't meet each other.
+    main = classes_.join(several.select("key"), "key").groupBy("key").agg(
+        F.max(F.struct("n", "kin", "all_bytes")).alias("main"), F.sum("n").alias("n"), F.sum("all_bytes").alias("all_bytes")
+    )
+    per = lambda n, b: F.ceil(F.greatest(n / most_rows, b / most_bytes)).cast("long")
+    main = main.select("key", F.col("main.kin").alias("main"), per(F.col("main.n"), F.col("main.all_bytes")).alias("p"), per(F.col("n") - F.col("main.n"), F.col("all_bytes") - F.col("main.all_bytes")).alias("q"))
+    tiled = placed.join(cut(main), "key").withColumn("own", F.expr("if(kin = main, pmod(xxhash64(node), p), p + pmod(xxhash64(node), q))"))
+    tiled = tiled.withColumn("other", F.expr("explode(sequence(if(kin = main, p, 0L), p + q - 1))"))
+    return cut(links.unionByName(met(tiled.withColumn("g", F.expr("xxhash64(key, least(own, other), greatest(own, other))")))))
+
+
+def content_of(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, content, sig; a row for each row of `docs`), and for the contents of rows that are
+    not alone in their class: (content, class_id, of), of: the content that the least id stands for."""
     text = F.col(f"`{text_col}`")
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), text.alias("text"), F.octet_length(text).cast("long").alias("bytes"))
-    fields = [T.StructField("content", T.BinaryType()), T.StructField("sig", T.BinaryType())]
-    base = cut(add_columns(ids, "text", _signatures, fields, keep=["node", "bytes"]))
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), content_of(text).alias("content"), F.octet_length(text).cast("long").alias("bytes"))
+    base = cut(add_columns(ids, "text", _signatures, [T.StructField("sig", T.BinaryType())], keep=["id", "content", "bytes"]))
 
-    # 1. One row for equal texts, then one for equal signatures.
-    contents = cut(base.filter("sig is not null and node is not null").groupBy("content", "sig").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
+    # 1. One node for equal texts, then one for equal signatures.
+    contents = base.filter("sig is not null and id is not null").groupBy("content", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    contents = cut(contents.withColumn("node", F.monotonically_increasing_id()))
     sigs = cut(contents.groupBy("sig").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
 
-    # 2. Buckets of two or more, and candidate pairs in them.
+    # 2. Buckets of two or more, and candidates in them.
     band = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {BAND_ROWS} + 1, {BAND_ROWS})))"
-    rows = sigs.select("node", F.explode(F.expr(band)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = rows.join(shared, "key").join(sigs.select("node", "sig"), "node")
-    tiled = _tiles(members.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("long")), "key", "blocks")
-    met = tiled.select("g", "node", "sig").repartition(F.col("g")).sortWithinPartitions("g")
-    pairs = met.mapInArrow(_candidates, "u long, v long")
+    members = sigs.select("node", F.explode(F.expr(band)).alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members = cut(members.join(shared, "key").select("node", "key", F.lit(COMPONENTS).cast("long").alias("bytes")))
+    pairs = _linked(members, lambda df: df.join(sigs.select("node", "sig"), "node").select("g", "node", "kin", "sig"), _candidates, BLOCK_ROWS, BLOCK_BYTES)
     same_sig = contents.join(sigs.filter("n > 1").select("sig", F.col("node").alias("v")), "sig").filter("node <> v").select(F.col("node").alias("u"), "v")
 
     # 3. What must meet.
-    met_in = components(pairs.unionByName(same_sig))
-    met_in = cut(met_in.select("node", F.col("root").alias("part")))
-
-    # 4. Verified links. A part too large for one task is cut into blocks.
-    known = contents.select("node", "sig", "bytes").join(met_in, "node").dropDuplicates(["node"])
-    sizes = known.groupBy("part").agg(F.greatest(F.count(F.lit(1)) / TILE_TEXTS, F.sum("bytes") / TILE_BYTES).alias("tasks"))
-    known = known.join(sizes, "part").select("node", "part", "sig", F.ceil("tasks").cast("long").alias("blocks"))
-    texts = ids.select("node", "text").join(cut(known), "node").dropDuplicates(["node"])
-    tiled = _tiles(texts, "part", "blocks").select("g", "node", "sig", "text")
-    met = tiled.repartition(F.col("g")).sortWithinPartitions("g")
-    links = cut(met.mapInArrow(_verified, "g long, u long, v long").select("u", "v"))
-
-    # 5. Classes, of texts and then of rows.
-    roots = components(links)
-    moved = contents.join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node")).filter("class_id <> node or n > 1")
-    moved = cut(moved.select("content", "class_id"))  # written first, so that the join with its hot texts can be split
-    placed = base.select("node", "content").join(moved, "content", "left")
-    return placed.select(F.col("node").alias(id_col), F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
+    parts = components(pairs.unionByName(same_sig))
+    parts = cut(contents.select("node", "id", "content", "sig", "bytes").join(parts, "node").withColumnRenamed("root", "key"))
+
+    # 4. Verified links. The text of a node is that of its least id, by a join of texts and nodes.
+    named = parts.select("id", "content", "node")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = ids.select("id", "content", "text").join(named, ["id", "content"]).select("node", "text").dropDuplicates(["node"])
+    compared = lambda df: df.join(parts.select("node", "sig"), "node").join(texts, "node").select("g", "node", "kin", "sig", "text")
+    links = _linked(parts.select("node", "key", "bytes"), compared, _verified, BLOCK_TEXTS, BLOCK_BYTES)
+
+    # 5. Classes of texts.
+    grouped = cut(contents.join(components(links), "node").select("content", "id", "root"))
+    least = cut(grouped.groupBy("root").agg(F.min(F.struct("id", "content")).alias("least")))
+    moved = grouped.join(least, "root").select("content", F.col("least.id").alias("class_id"), F.col("least.content").alias("of"))
+    copied = contents.filter("n > 1").join(grouped.select("content"), "content", "left_anti")
+    moved = moved.unionByName(copied.select("content", F.col("id").alias("class_id"), F.col("content").alias("of")))
+    return base, cut(moved)  # written, so that the joins with hot texts can be split
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id), a row for each row of `docs`: class_id is the least id of the class."""
+    base, moved = _found(docs, id_col, text_col)
+    placed = base.select("id", "content").join(moved, "content", "left")
+    return placed.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of its class, one row for each id, and the rows
-    without an id; same columns."""
-    found = cut(classes(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
-    key = F.col(f"`{id_col}`").cast("long")
-    gone = found.filter("__id <> class_id").select("__id").distinct()
-    kept = docs.join(gone, key == F.col("__id"), "left_anti")
-    again = found.filter("__id is not null").groupBy("__id").count().filter("count > 1").select("__id")
+    """One row of `docs` for each class, that of its least id, and all rows that have no id or no
+    word; same columns."""
+    base, moved = _found(docs, id_col, text_col)
+    rows = base.filter("id is not null and sig is not null").select("id", "content")
+    gone = rows.join(moved, "content").filter("content <> of or id <> class_id").select("id", "content").distinct()
+    again = rows.groupBy("id", "content").count().filter("count > 1").select("id", "content")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), content_of(F.col(f"`{text_col}`")).alias("content"))
+    kept = packed.join(cut(gone), ["id", "content"], "left_anti")
+    again = cut(again)
     if again.isEmpty():
-        return kept
-    single = kept.join(again, key == F.col("__id"), "left_anti")
-    return single.unionByName(kept.join(again, key == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+        return kept.select("doc.*")
+    single = kept.join(again, ["id", "content"], "left_anti")
+    return single.unionByName(kept.join(again, ["id", "content"], "left_semi").dropDuplicates(["id", "content"])).select("doc.*")

@@ -5,7 +5,9 @@ from turnspan.llm.registry import register, table
 
 SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, CASE WHEN len(a) > 0 THEN a ELSE b END AS w FROM (
+    SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS b
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents))
 ), grams AS (
   SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
   FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)

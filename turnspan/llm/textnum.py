@@ -79,9 +79,10 @@ def slices(offs: np.ndarray, most: int = 4_000_000, texts: int = 1 << 30) -> Ite
 
 class Words:
     """The words of some texts: byte starts and ends, 64-bit hashes, and `off`, the n + 1
-    offsets of each text's words."""
+    offsets of each text's words. Texts without a word of `kind` have words of the class `other`, if
+    it is given."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: np.ndarray, fold: bool = False, other: np.ndarray | None = None):
         n = len(data)
         padded = np.zeros(n + 16, dtype=np.uint8)
         np.take(FOLD, data, out=padded[:n]) if fold else np.copyto(padded[:n], data)
@@ -91,6 +92,11 @@ class Words:
             self.off = np.zeros(len(offs), np.int64)
             return
         inside = kind[padded[:n]]
+        if other is not None:
+            total = np.concatenate([[0], np.cumsum(inside)])
+            bare = total[offs[1:]] == total[offs[:-1]]
+            if bare.any():
+                inside |= np.repeat(bare, np.diff(offs)) & other[padded[:n]]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offs] = True
         first = inside.copy()
@@ -103,14 +109,6 @@ class Words:
     def hashes(self) -> np.ndarray:
         return hash_spans(self.bytes, self.start, self.end - self.start)
 
-    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of words longer than k bytes (k at most 8): their indexes and the hashes of their first k bytes."""
-        longer = np.flatnonzero(self.end - self.start > k)
-        if not hasattr(self, "first_eight"):
-            self.first_eight = np.ndarray(shape=(len(self.bytes) - 7,), dtype="<u8", buffer=self.bytes, strides=(1,))[self.start]
-        with np.errstate(over="ignore"):
-            return longer, mix((self.first_eight[longer] & _MASKS[k]) ^ (U64(k) * _K3))
-
 
 def hash_spans(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hashes of byte spans; `padded` has 16 spare bytes at its end. Eight bytes are read at a time."""
