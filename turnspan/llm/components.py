@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from turnspan.session import cut
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """The rows of a checkpoint without what the optimizer knows of its order, partitioning and values: that
+    doubles with each round, and planning would soon take longer than the work."""
+    spark, q = df.sparkSession, df._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(q.toRdd(), df._jdf.schema(), False), spark)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long): root is the least id of its component.
 
@@ -26,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        e = _plain(cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()))
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             break
