@@ -359,7 +359,8 @@ TEXT = "Title & more\nFirst paragraph é of the text, with a bold word.\nSecond
 
 
 def test_pages_and_consensus(spark):
-    assert html_text.text_under(html_text.blocks_of(PAGE % 1), "") == TEXT
+    blocks = html_text.blocks_of(PAGE % 1)
+    assert "\n".join(t for t, _ in blocks) == TEXT and html_text.text_under(blocks, html_text.best_container(html_text.container_scores(blocks)).key) == TEXT
     odd = PAGE.replace("%d", "9").replace("First   paragraph &eacute; of the text,<br>with a <b>bold</b> word.<p>Second one, which is longer than the first one.", "Short.")
     rows = [(i, f"http://h.example/{i}", PAGE % i) for i in range(6)] + [(7, "http://h.example/7", odd)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -367,6 +368,27 @@ def test_pages_and_consensus(spark):
     assert got[7].text == "Title & more\nShort.\nPoint one\nPoint two" and got[7].path == got[1].path
 
 
+def test_odd_pages():
+    def text(page):
+        return "\n".join(t for t, _ in html_text.blocks_of(page))
+
+    assert text("""<p title="a"b">one<p title='it's'>two<p data-x="a > b">three < 4<p x=">">5""") == "one\ntwo\nthree < 4\n5"
+    sections = "".join(f"<section class={c}><p>Of {c}.</p></section>" for c in ("discussion", "legal", "search", "tags", "related", "alert"))
+    assert text(f"<article><p>First.</p>{sections}<div class=related><a href=/>All links</a></div></article>").count("\n") == 6
+    assert text("<div class=legal><p>No.</p></div><p>Yes.</p><a ") == "Yes."
+
+
+@pytest.mark.parametrize("odd", ["<a ", "<div class=abc>", "<button>", "</section>", "<p x='", "<!-", "<div></section>", "&lt;", "<a b=\""])
+def test_long_odd_pages_take_linear_time(odd):
+    import time
+
+    page = odd * (1_000_000 // len(odd))
+    began = time.perf_counter()
+    blocks = html_text.blocks_of(page)
+    html_text.container_scores(blocks), html_text.keys_of(blocks)
+    assert time.perf_counter() - began < 15
+
+
 @needs_tables
 def test_pages_of_the_tables(spark):
     import html
