@@ -160,11 +160,13 @@ class Rollup:
     def compact(self) -> None:
         """Folds all committed batches into a new base; the old folders stay until `clean`."""
         names = self.batches()
-        n = len(self._names("bases")) + 1
+        fs, p = self._fs(f"{self.path}/bases")
+        numbers = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        n = max([int(x) for x in numbers if x.isdigit()], default=0) + 1  # never a name that was used, committed or not
         listed = F.lit(json.dumps(names))
         rows = self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"), listed.alias("batches"))
         empty = self.spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), listed.alias("batches"))
-        rows.unionByName(empty).write.mode("overwrite").parquet(f"{self.path}/bases/{n:08d}")
+        rows.unionByName(empty).write.parquet(f"{self.path}/bases/{n:08d}")
 
     def clean(self) -> None:
         """Removes the folders that the newest base has made needless."""
