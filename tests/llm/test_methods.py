@@ -106,6 +106,27 @@ def test_hypergeometric_draws(spark):
     assert np.abs(have - want).max() < 2 / n + 1e-9
 
 
+def test_shards_and_reruns(spark):
+    """Draws of each source and shard are the tree's; any partitioning, and docs of a range, give the same."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "concat('s', cast(least(id % 7, 2) as string)) as source")
+    options = {"block_words": 500, "shards": 4}
+    one = {r.doc_id: (r.taken, sorted(d.shard for d in r.draws)) for r in mixing.taken(docs, **options).collect()}
+    two = {r.doc_id: (r.taken, sorted(d.shard for d in r.draws)) for r in mixing.taken(docs.repartition(7), **options).collect()}
+    assert one == two
+    _, sources, blocks = mixing.plan(docs, **options)
+    drawn = np.zeros(4, int)
+    for r in blocks.collect():
+        for d in r.draws:
+            drawn[d.shard] += 1
+    assert drawn.max() - drawn.min() <= 3  # halves, and halves of these
+    wanted = {r.source: r.target for r in sources.collect()}
+    total: Counter = Counter()
+    for r in docs.collect():
+        total[r.source] += one[r.doc_id][0]
+        assert one[r.doc_id][0] <= 3 * len(r.text.split())
+    assert all(abs(total[x] - wanted[x]) <= 1 for x in wanted)
+
+
 @needs_tables
 def test_mix_comes_near_targets(spark):
     got = QUERIES["op1_mixing"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "source"), "doc_id")
@@ -279,19 +300,33 @@ def test_rollup_of_deltas(spark, tmp_path):
 def test_token_counts_equal_plain_encoding(spark):
     import tiktoken
 
-    e = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(f"{token_counts.TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={})
+    rows = table(spark, SF, "documents").select("source", "lang", "text").collect()
     want: Counter = Counter()
-    docs: Counter = Counter()
-    for r in table(spark, SF, "documents").select("source", "lang", "text").collect():
-        n = len(e.encode_ordinary(r.text))
-        want[r.source, r.lang] += n + (n > 0)
-        docs[r.source, r.lang] += n > 0
-    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in QUERIES["op5_token_counts"](spark, SF).collect()}
-    assert got == {k: (docs[k], want[k]) for k in want if want[k]}
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        e = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(f"{token_counts.TOKENIZERS}/{version}.tiktoken"), special_tokens={})
+        for r in rows:
+            want[r.source, r.lang, version, "docs"] += 1
+            want[r.source, r.lang, version, "tokens"] += len(e.encode_ordinary(r.text or ""))
+    got = {}
+    for r in QUERIES["op5_token_counts"](spark, SF).collect():
+        got |= {(r.source, r.lang, r.tokenizer, "docs"): r.n_docs, (r.source, r.lang, r.tokenizer, "tokens"): r.n_tokens}
+    assert got == dict(want)
     text = "a bc " * 60_000
     assert sum(len(e.encode_ordinary(p)) for p in token_counts.pieces(text)) == len(e.encode_ordinary(text))
 
 
+def test_bases_never_share_a_name(spark, tmp_path):
+    counts = spark.createDataFrame([("s", "en", "v", 4)], "source string, lang string, tokenizer string, n_tokens long")
+    r = token_counts.Rollup(spark, str(tmp_path / "r"))
+    names = []
+    for i in range(3):
+        r.commit(f"b{i}", token_counts.inserts(counts))
+        r.compact()
+        names += r._names("bases")[-1:]
+        r.clean()
+    assert len(set(names)) == 3 and [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 3, 12)]
+
+
 # ---- classifiers ----------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@
    most `max_blocks` a source, so the block table stays small at any input size.
 2. A source's target is reached by whole passes over its blocks and one partial pass: its blocks in
    a permuted order until the rest is used up, the last one only up to a cut in its rows' order.
+   The cut is found by sums over slots of that order; only one slot's rows are ever sorted.
 3. The draws of blocks are an exact quota for each source. A binary tree over the output shards
    splits that vector of quotas: each node draws its left half from a multivariate hypergeometric
    distribution (source by source, inverse of the cumulative distribution, seeded by node and
@@ -33,6 +34,7 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 1 << 16
 BLOCK_ROWS = 1 << 10
 MAX_BLOCKS = 1 << 14
+SLOT_BITS = 12  # of the turn of a row in its block
 SHARDS = 16
 BROADCAST_ROWS = 200_000
 
@@ -157,19 +159,34 @@ def plan(
     table = sharded.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max("left").alias("left"))
 
     # The partial draw of a block: its rows by their turn as far as they fit, and the one row of the
-    # others that comes nearest to the words still missing.
-    split = table.filter("left is not null").select("src", "block", "left")
-    inside = placed.join(F.broadcast(split) if few else split, ["src", "block"])
-    whole = Window.partitionBy("src", "block")
-    by_turn = whole.orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.sum("size").over(by_turn)).withColumn("own", F.sum("size").over(whole.partitionBy("src", "block", "turn")))
-    fits = F.col("upto") <= F.col("left")
-    gap = F.col("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(whole), F.lit(0))
-    inside = inside.withColumn("fits", fits).withColumn("gap", gap).withColumn("off", F.abs(F.col("gap") - F.col("own")))
-    cuts = inside.groupBy("src", "block").agg(
-        F.max(F.when(F.col("fits"), F.col("turn"))).alias("cut"),
-        F.min(F.when(~F.col("fits") & (F.col("off") < F.col("gap")), F.struct("off", "turn")))["turn"].alias("extra"),
+    # others that comes nearest to the words still missing. Turns fall into slots, whose sums tell the
+    # one slot that fits in part; only its rows are put in order.
+    split = cut(table.filter("left is not null").selectExpr("src as s_src", "block as s_block", "left"))
+    split = F.broadcast(split) if few else split
+    inside = placed.join(split, (F.col("src") == F.col("s_src")) & (F.col("block") == F.col("s_block")))
+    inside = inside.select("src", "block", "left", "turn", "size", F.shiftright("turn", 64 - SLOT_BITS).alias("slot"))
+    own = Window.partitionBy("src", "block").orderBy("slot")
+    slots = inside.groupBy("src", "block", "left", "slot").agg(F.sum("size").alias("words"))
+    slots = slots.withColumn("upto", F.sum("words").over(own))
+    edge = slots.groupBy("src", "block", "left").agg(
+        F.max(F.when(F.col("upto") <= F.col("left"), F.struct("slot", "upto"))).alias("full"), F.min(F.when(F.col("upto") > F.col("left"), F.col("slot"))).alias("slot")
     )
+    before = F.coalesce("full.upto", F.lit(0)).alias("before")
+    edge = cut(edge.select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), F.col("slot").alias("e_slot"), before, F.col("full.slot").alias("full_slot")))
+    edge = F.broadcast(edge) if few else edge
+    inside = inside.join(edge, (F.col("src") == F.col("e_src")) & (F.col("block") == F.col("e_block")))
+    by_turn = Window.partitionBy("src", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = inside.filter("slot = e_slot").groupBy("src", "block", "left", "before", "turn").agg(F.sum("size").alias("size"))
+    parts = parts.withColumn("upto", F.col("before") + F.sum("size").over(by_turn)).filter(F.col("upto") <= F.col("left"))
+    parts = parts.groupBy("src", "block").agg(F.max(F.struct("turn", "upto")).alias("last"))
+    last_of = F.expr(f"if(full_slot is null, null, shiftleft(full_slot, {64 - SLOT_BITS}) + {(1 << (64 - SLOT_BITS)) - 1}L)")  # the last turn of a slot
+    ends = edge.join(parts, (F.col("e_src") == F.col("src")) & (F.col("e_block") == F.col("block")), "left")
+    ends = cut(ends.select("e_src", "e_block", F.coalesce("last.turn", last_of).alias("cut"), F.coalesce("last.upto", "before").alias("got")))
+    rest = inside.drop("e_src", "e_block").join(F.broadcast(ends) if few else ends, (F.col("src") == F.col("e_src")) & (F.col("block") == F.col("e_block")))
+    rest = rest.filter("cut is null or turn > cut").groupBy("src", "block", "turn", "left", "got").agg(F.sum("size").alias("own"))
+    rest = rest.withColumn("off", F.abs(F.col("left") - F.col("got") - F.col("own"))).filter("off < left - got")
+    extra = rest.groupBy("src", "block").agg(F.min(F.struct("off", "turn"))["turn"].alias("extra"))
+    cuts = ends.selectExpr("e_src as src", "e_block as block", "cut").join(extra, ["src", "block"], "left")
     lowest = F.lit(-(1 << 63)).cast("long")
     table = table.join(cuts, ["src", "block"], "left").select(
         "src", "block", "draws", F.when(F.col("left").isNotNull(), F.coalesce("cut", lowest)).alias("cut"), "extra"
