@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from turnspan.session import cut
 
+PART_ROWS = 50_000
+
 
 def _plain(df: DataFrame) -> DataFrame:
     """The rows of a checkpoint without what the optimizer knows of its order, partitioning and values: that
@@ -20,20 +22,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs larger neighbours on a node's least neighbour, then smaller ones, until every
     component is one star. Only least ids are aggregated by node, so nodes with many neighbours
-    cost a partial aggregation and a join that Spark can split; nothing is gathered by node.
+    cost a partial aggregation and a join that Spark can split; nothing is gathered by node. Tables
+    are kept in partitions of about PART_ROWS rows, as a round of many tiny ones is mostly files.
     Edges with a null end or from a node to itself are left out.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    count, before = e.count(), None
+
+    def held(df: DataFrame) -> DataFrame:  # no table of a round has more rows than twice the links
+        return cut(df.coalesce(2 * count // PART_ROWS + 1))
+
+    e = _plain(e.coalesce(2 * count // PART_ROWS + 1))
     while True:  # a number of rounds that grows with the logarithm of the nodes
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Least ids are written before they are joined: a join of two shuffled tables is one that
         # adaptive execution can split at a node with very many neighbours.
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = held(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = held(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        down = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = _plain(cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()))
+        e = _plain(held(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()))
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             break
