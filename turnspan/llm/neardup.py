@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from turnspan.session import cut
 
 from .batches import add_columns
-from .components import components
+from .components import PART_ROWS, components
 from .textnum import ALNUM, SOLID, U64, Words, column_bytes, mix, slices, windows
 
 WORDS = 5
@@ -299,11 +299,13 @@ def _linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel: K
     if sizes.filter("tasks > 1").isEmpty():
         return links
     large, last, level = cut(rows.filter("tasks > 1").select("node", "key", "bytes")), None, 0
+    parts = large.count() // PART_ROWS + 1  # tables of ids are kept in few partitions, see components
+    large = large.coalesce(parts)
     while True:
         roots = components(links)
-        placed = cut(large.join(roots, "node", "left").select("node", "key", "bytes", F.coalesce("root", "node").alias("kin")))
-        classes_ = cut(placed.groupBy("key", "kin").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")))
-        several = cut(classes_.groupBy("key").agg(tasks, F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+        placed = cut(large.join(roots, "node", "left").select("node", "key", "bytes", F.coalesce("root", "node").alias("kin")).coalesce(parts))
+        classes_ = cut(placed.groupBy("key", "kin").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")).coalesce(parts))
+        several = cut(classes_.groupBy("key").agg(tasks, F.count(F.lit(1)).alias("classes")).filter("classes > 1").coalesce(parts))
         now = several.agg(F.sum("classes")).first()[0] or 0
         if now == 0:
             return links
