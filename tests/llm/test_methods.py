@@ -50,6 +50,43 @@ def test_suffix_array():
         assert sorted(order) == list(range(300)) and key == sorted(key)
 
 
+def test_longest_of_each_text_by_brute_force(spark):
+    """A text's longest match is its own, whatever texts lie beside it and however the rows and the items are cut."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    texts += texts[:20] + ["q r s t u v w x", "zz q r s t u v w"]  # repeated rows share every match
+    items = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16))) for _ in range(9)] + ["q r s t u v w y", None, ""]
+
+    def longest(text):
+        words, runs = text.split(), {0}
+        for item in items:
+            w = (item or "").split()
+            for i in range(len(words)):
+                for k in range(len(w)):
+                    n = 0
+                    while i + n < len(words) and k + n < len(w) and words[i + n] == w[k + n]:
+                        n += 1
+                    runs.add(n)
+        return max(runs)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(str(i), x) for i, x in enumerate(items)], "item_id string, text string")
+    want = {i: longest(x) for i, x in enumerate(texts)}
+    rest = None
+    for parts, block in ((1, 10**6), (5, 10**6), (3, 1)):  # the last: a block for each item, so several passes
+        rows = decontaminate.flag(docs.repartition(parts), bench.coalesce(1), block_words=block).collect()
+        assert {r.doc_id: r.dc_longest for r in rows} == want
+        for r in rows:
+            at, n = r.dc_longest_at, r.dc_longest
+            assert (at is None) == (n == 0)
+            if n:
+                run = " ".join(texts[r.doc_id].split()[at : at + n])
+                assert f" {run} " in f" {items[int(r.dc_longest_item)]} "
+        whole = sorted((r.doc_id, r.dc_hit, r.dc_items, r.dc_items_sha256, r.dc_longest_at) for r in rows)
+        assert rest in (None, whole)
+        rest = whole
+
+
 def test_longest_matches():
     rng = random.Random(4)
     docs = [" ".join(rng.choice("abc") for _ in range(40)) for _ in range(20)]
@@ -57,7 +94,7 @@ def test_longest_matches():
     test = decontaminate.TestSet([str(i) for i in range(5)], items, 10)
     data, offs = packed(docs)
     tokens, _ = decontaminate.shard_tokens(textnum.Words(data, offs, textnum.ALNUM, fold=True))
-    best, _, hits = decontaminate.search(tokens, test)
+    best, _, _, hits = decontaminate.search(tokens, decontaminate.suffix_array(tokens, test.longest), test)
     for q, b in enumerate(best.tolist()):
         words = items[q // 12].split()[q % 12 :]
         longest = max(n for n in range(len(words) + 1) if n == 0 or any(f" {' '.join(words[:n])} " in f" {d} " for d in docs))

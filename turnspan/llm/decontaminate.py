@@ -2,12 +2,14 @@
 
 Each task sorts the word suffixes of its documents (a shard) by prefix doubling. Every suffix of
 every test item is then binary-searched in that shard, one word deeper at a time, until its range
-of equal prefixes is empty: that depth is its longest verbatim match there, and the range gives the
-places. A range at the depth of a whole window gives all occurrences of that window.
+of equal prefixes is empty: that depth is its longest verbatim match there. Every place of each
+range is credited with the range's depth, so a text's longest match does not depend on the texts
+that share its shard. A range at the depth of a whole window gives all occurrences of that window.
 
 The test set is the stated query set: it goes to the tasks in blocks of at most `block_words`
-words, so what is broadcast has a fixed bound however large the test set is; one narrow pass over
-the documents is made for each block, without any shuffle of texts.
+words, `PASS_BLOCKS` of them in a pass, so what a task holds has a fixed bound however large the
+test set is. Each pass is one narrow scan of the documents that builds each shard's suffix array
+once; a checkpoint parts the passes, where there is more than one.
 
 Words are compared by 64-bit hashes. Two different words of one comparison collide with a
 probability of 2^-64; a window of ten needs ten such collisions.
@@ -20,6 +22,7 @@ give no hits; other columns of `docs` are left as they are in `flag` and `decont
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnspan.session import cut
+
 from .batches import small_batches
 from .textnum import ALNUM, Words, column_bytes, slices
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 SHARD_BYTES = 6_000_000
+PASS_BLOCKS = 4
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -103,13 +109,15 @@ class TestSet:
         self.longest = int(counts.max()) if len(counts) else 0
 
 
-def search(tokens: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Longest match of each test suffix, one place of it, and for windows (test position, its occurrences' places, lengths)."""
-    m = len(test.tokens)
-    best, place, hits = np.zeros(m, np.int64), np.full(m, -1, np.int64), []
-    if not len(tokens) or not m:
-        return best, place, hits
-    order = suffix_array(tokens, test.longest)
+def search(tokens: np.ndarray, order: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Longest match of each test suffix; for each place of the shard the longest match that begins
+    there and the first test suffix that has it (-1: none); and for windows (test position, its
+    occurrences' places, lengths). `order` is sorted by at least the longest item's words."""
+    n, m = len(tokens), len(test.tokens)
+    best, hits = np.zeros(m, np.int64), []
+    reach, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if not n or not m:
+        return best, reach, source, hits
     ranked = tokens[order]
     live = np.arange(m)
     lo, hi = np.searchsorted(ranked, test.tokens, "left"), np.searchsorted(ranked, test.tokens, "right")
@@ -119,30 +127,36 @@ def search(tokens: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, l
         live, lo, hi = live[keep], lo[keep], hi[keep]
         if not len(live):
             break
-        best[live], place[live] = depth, order[lo]
+        best[live] = depth
+        _, once = np.unique(lo, return_index=True)  # ranges of one depth are equal or apart
+        at = order[spread(lo[once], hi[once])]
+        reach[at], source[at] = depth, np.repeat(live[once], (hi - lo)[once])
         full = np.flatnonzero(test.need[live] == depth)
         if len(full):
-            count = (hi - lo)[full]
-            start = np.repeat(lo[full], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hits.append((np.repeat(live[full], count), order[start], np.full(len(start), depth)))
+            at = order[spread(lo[full], hi[full])]
+            hits.append((np.repeat(live[full], (hi - lo)[full]), at, np.full(len(at), depth)))
         keep = test.left[live] > depth
         live, lo, hi = live[keep], lo[keep], hi[keep]
         if len(live):
             lo, hi = narrow(tokens, order, lo, hi, depth, test.tokens[live + depth])
         depth += 1
-    return best, place, hits
+    return best, reach, source, hits
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All slots of the ranges [lo, hi), one range after another."""
+    count = hi - lo
+    return np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def runs(d: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Windows that follow one another in text and item alike, joined: (text, words, test position, first word)."""
-    order = np.lexsort((p, p - q, d))
-    d, p, q, length = d[order], p[order], q[order], length[order]
-    new = np.ones(len(d), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(d)))
-    size = count + length[first] - 1
-    yield from zip(d[first].tolist(), size.tolist(), q[first].tolist(), (p[first] - begin[d[first]]).tolist())
+def longest_places(reach: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text (its first place is in `begin`, a separator is its last) the longest match and the first place that has it."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = np.maximum.reduceat(reach, begin)
+    size = np.diff(np.append(begin, len(reach)))
+    at = np.flatnonzero(reach == np.repeat(most, size))
+    return most, at[np.searchsorted(at, begin)]
 
 
 def shard_tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +199,9 @@ def flag(
 ) -> DataFrame:
     """`docs` with, per row: {prefix}words long, {prefix}hit long (words inside an occurrence of a
     window), {prefix}items long, {prefix}items_sha256 string, {prefix}longest long (the longest
-    verbatim run of any test suffix, in words), {prefix}longest_item string, {prefix}longest_at
-    long (the first word of that run in the document)."""
+    verbatim run of any test suffix, in words, whole windows or not), {prefix}longest_item string
+    (an item that has that run), {prefix}longest_at long (the first word of the first such run in
+    the document; null: no word is shared)."""
     spark = small_batches(docs).sparkSession
     names = [f"{prefix}{x}" for x in ("words", "hit", "items", "items_sha256", "longest", "longest_item", "longest_at")]
     clash = {x.lower() for x in docs.columns} & {x.lower() for x in [*names, f"{prefix}spans", f"{prefix}found"]}
@@ -202,19 +217,26 @@ def flag(
             T.StructField(names[6], T.LongType()),
         ]
     )
-    out, first, blocks = docs, True, 0
-    for test in test_blocks(benchmark, item_id_col, item_text_col, window, block_words):
-        shared = spark.sparkContext.broadcast(test)
-        out = out.mapInArrow(_pass(shared, text_col, state.fieldNames(), first), T.StructType(docs.schema.fields + state.fields))
+    out, first = docs, True
+    for tests in passes(test_blocks(benchmark, item_id_col, item_text_col, window, block_words)):
+        shared = [spark.sparkContext.broadcast(test) for test in tests]
+        held = out if first else cut(out)  # what a stage holds does not grow with the test set
+        out = held.mapInArrow(_pass(shared, text_col, state.fieldNames(), first), T.StructType(docs.schema.fields + state.fields))
         first = False
-        blocks += 1
     finish = T.StructType(docs.schema.fields + [T.StructField(n, T.StringType() if n.endswith(("sha256", "longest_item")) else T.LongType()) for n in names])
     return out.mapInArrow(_finish(state.fieldNames(), names), finish)
 
 
+def passes(blocks: Iterator[TestSet]) -> Iterator[list[TestSet]]:
+    """The blocks, PASS_BLOCKS at a time."""
+    while some := list(itertools.islice(blocks, PASS_BLOCKS)):
+        yield some
+
+
 def _pass(shared, text_col: str, state: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test: TestSet = shared.value
+        tests: list[TestSet] = [x.value for x in shared]
+        depth = max(x.longest for x in tests)
         for batch in batches:
             keep = [n for n in batch.schema.names if first or n not in state]
             data, offs = column_bytes(batch.column(batch.schema.get_field_index(text_col)))
@@ -233,21 +255,21 @@ def _pass(shared, text_col: str, state: list[str], first: bool):
                 total[i:j] = np.diff(words.off)
                 tokens, doc = shard_tokens(words)
                 begin = np.cumsum(np.diff(words.off) + 1) - np.diff(words.off) - 1  # of each text in tokens
-                best, place, hits = search(tokens, test)
-                for q in np.flatnonzero(best):  # one place for each test suffix
-                    d = doc[place[q]]
-                    if best[q] > longest[i + d]:
-                        longest[i + d], item[i + d], at[i + d] = best[q], test.ids[test.item[q]], place[q] - begin[d]
-                if hits:
+                order = suffix_array(tokens, depth)
+                for test in tests:
+                    _, reach, source, hits = search(tokens, order, test)
+                    most, place = longest_places(reach, begin)
+                    first_word, old = place - begin, longest[i:j]
+                    for d in np.flatnonzero((most > old) | ((most == old) & (most > 0) & (first_word < at[i:j]))).tolist():
+                        longest[i + d], item[i + d], at[i + d] = most[d], test.ids[test.item[source[place[d]]]], first_word[d]
+                    if not hits:
+                        continue
                     q, p, length = (np.concatenate(x) for x in zip(*hits))
                     d = doc[p]
                     # one row for each place (several items may share a window), one for each text and item
                     key = np.unique(np.stack([d, p - begin[d], length]), axis=1)
                     for a, b, c in key.T.tolist():
                         spans[i + a] += [b, c]
-                    for a, size, b, start in runs(d, p, q, length, begin):
-                        if size > longest[i + a]:
-                            longest[i + a], item[i + a], at[i + a] = size, test.ids[test.item[b]], start
                     pairs = np.unique(np.stack([d, test.item[q]]), axis=1)
                     for a, b in pairs.T.tolist():
                         if test.ids[b] is not None:
