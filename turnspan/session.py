@@ -27,7 +27,8 @@ def local_session(cpus: int | str = "*", app: str = "turnspan", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, where it is set.
 
-    Only where the cluster names none (tests, single machine) a temporary folder is made.
+    Only a local master may go without one (tests, single machine): it gets a temporary folder. A
+    cluster must name its own, as executors don't see a folder of the driver's machine.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir")
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.environ.get("TURNSPAN_SCRATCH") or tempfile.mkdtemp(prefix="turnspan-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
