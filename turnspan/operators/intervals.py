@@ -140,22 +140,24 @@ def drop_short_turns(segments: DataFrame, short: float = SHORT) -> DataFrame:
     """Removes segments (file_id, mid, speaker, start, end) of at most `short` seconds; if those on
     either side of one are of one speaker, the left takes in the right, whatever the gap.
 
-    What happens to a segment depends on the last one kept, so this is a left fold over a file's
-    segments. The fold makes one letter for each (k: keep, a: absorbed, d: dropped); starts and ends
-    follow from the letters by grouping.
+    A segment longer than `short` is always kept or taken in, so the one on the left of each is of the
+    last long segment's speaker. A short one is dropped, unless it is of that speaker and one was
+    dropped since that speaker's last: then it is taken in. Short ones of that speaker in a row thus
+    take turns, and their number since the last other row tells which. All is window functions over
+    one sort, linear in a file's segments. A null speaker is nobody's; a null time is not short.
     """
-    items = F.array_sort(F.collect_list(F.struct("mid", "speaker", "start", "end")))
-    by_file = segments.groupBy("file_id").agg(items.alias("items"))
-    step = (
-        f"(a, x) -> case when a.pending and a.last = x.speaker then named_struct('last', a.last, 'pending', false, 'code', concat(a.code, 'a'))"
-        f" when x.end - x.start <= {short}D then named_struct('last', a.last, 'pending', true, 'code', concat(a.code, 'd'))"
-        f" else named_struct('last', x.speaker, 'pending', false, 'code', concat(a.code, 'k')) end"
-    )
-    fold = f"aggregate(items, named_struct('last', cast(null as string), 'pending', false, 'code', ''), {step}, a -> a.code)"
-    rows = by_file.withColumn("code", F.expr(fold)).select("file_id", "code", F.posexplode("items").alias("pos", "x"))
-    rows = rows.select("file_id", F.col("x.mid").alias("mid"), F.substring("code", F.col("pos") + 1, F.lit(1)).alias("code"), "x.speaker", "x.start", "x.end")
-    rows = rows.filter("code <> 'd'").withColumn("turn", F.sum((F.col("code") == "k").cast("int")).over(_in_file("mid")) - 1)
-    return rows.groupBy("file_id", "turn").agg(
+    w = _in_file("mid")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = segments.withColumn("pos", F.row_number().over(w)).withColumn("brief", F.coalesce(F.col("end") - F.col("start") <= short, F.lit(False)))
+    t = t.withColumn("last", F.last(F.when(~F.col("brief"), F.struct("speaker")), ignorenulls=True).over(before))
+    t = t.withColumn("own", F.coalesce(F.col("speaker") == F.col("last.speaker"), F.lit(False)))
+    other = F.when(~F.col("brief") | ~F.col("own"), F.struct("pos", "brief"))
+    t = t.withColumn("other", F.last(other, ignorenulls=True).over(before))
+    odd = (F.col("pos") - 1 - F.col("other.pos")) % 2 == 1
+    taken = F.col("own") & F.coalesce(F.col("other.brief") != odd, F.lit(False))
+    t = t.withColumn("taken", taken).filter("taken or not brief")
+    t = t.withColumn("turn", F.sum((~F.col("taken")).cast("int")).over(w) - 1)
+    return t.groupBy("file_id", "turn").agg(
         F.min_by("speaker", "mid").alias("speaker"), F.min_by("start", "mid").alias("start"), F.max_by("end", "mid").alias("end")
     )
 
