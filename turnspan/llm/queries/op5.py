@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from turnspan.llm.registry import register, table
-from turnspan.llm.token_counts import TOKENIZERS, Rollup, bpe_counts, deletes, inserts, revisions, word_counts
+from turnspan.llm.token_counts import TOKENIZERS, Rollup, bpe_counts_by, deletes, inserts, revisions, word_counts
 from turnspan.session import cut, shared_dir
 
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -31,9 +31,7 @@ def op5_token_counts(spark, sf_dir, tokenizers: str = TOKENIZERS):
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
     counts = docs.withColumn("words", F.col("text"))
     counts = word_counts(counts, "words", "n_words")
-    for version in VERSIONS:
-        counts = bpe_counts(counts.withColumn("encoded", F.col("text")), f"{tokenizers}/{version}.tiktoken", "encoded", version)
-    counts = cut(counts.drop("text"))
+    counts = cut(bpe_counts_by(counts, {version: f"{tokenizers}/{version}.tiktoken" for version in VERSIONS}))
     rollup = _rollup(spark)
     as_version = lambda version, n: counts.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(n).alias("n_tokens"))
     estimates = counts.select("source", "lang", F.lit(VERSIONS[0]).alias("tokenizer"), F.col("n_words").alias("n_tokens"), F.col(VERSIONS[0]).alias("new_tokens"))

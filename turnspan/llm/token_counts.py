@@ -17,9 +17,10 @@ read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +37,67 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 100_000
 
 
+#: A worker's encoders by vocabulary: those of the vocabularies it counted last.
+_encoders: dict[str, Callable[[str], list[int]]] = {}
+
+
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line.strip())}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
+
+
+def encoders(contents: dict[str, bytes]) -> list[Callable[[str], list[int]]]:
+    """An encoder for each vocabulary file (digest: content). A worker that runs many tasks builds
+    each once and holds only those of its last call."""
+    import tiktoken
+
+    for digest in set(_encoders) - set(contents):
+        del _encoders[digest]
+    for digest, content in contents.items():
+        if digest not in _encoders:
+            _encoders[digest] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=parse_ranks(content), special_tokens={}).encode_ordinary
+    return [_encoders[digest] for digest in contents]
 
 
 def bpe_counts(texts: DataFrame, vocabulary: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
-    """`texts` with the number of byte-level BPE tokens of each text, by the ranks in the file
-    `vocabulary` (read on the driver and sent to the tasks: a vocabulary is of a fixed size)."""
-    ranks = small_batches(texts).sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    """`texts` with the number of byte-level BPE tokens of each text, in place of the text, by the
+    ranks in the file `vocabulary`."""
+    return bpe_counts_by(texts, {out: vocabulary}, text_col)
+
+
+def bpe_counts_by(texts: DataFrame, vocabularies: dict[str, str], text_col: str = "text") -> DataFrame:
+    """`texts` with a column of token counts for each vocabulary file (column: path), in place of the
+    text, which is sent to Python once for all of them. The files are read on the driver and sent to
+    the tasks as they are: a vocabulary is of a fixed size."""
+    files = {}
+    for column, path in vocabularies.items():
+        with open(path, "rb") as f:
+            files[column] = f.read()
+    digests = {column: hashlib.sha256(content).hexdigest() for column, content in files.items()}
+    contents = small_batches(texts).sparkSession.sparkContext.broadcast({digests[column]: content for column, content in files.items()})
     names = [c for c in texts.columns if c != text_col]
+    outs = list(vocabularies)
+    order = [digests[column] for column in outs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        by_digest = dict(zip(contents.value, encoders(contents.value)))
+        encode = [by_digest[digest] for digest in order]
         for batch in batches:
-            counts = np.zeros(batch.num_rows, np.int64)
+            counts = np.zeros((len(encode), batch.num_rows), np.int64)
             for i, text in enumerate(batch.column(len(names))):
                 text = text.as_py()
                 if text:
-                    counts[i] = sum(len(encode(piece)) for piece in pieces(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts)], names=[*[f"k{i}" for i in range(len(names))], "n"])
+                    for piece in pieces(text):
+                        counts[:, i] += [len(one(piece)) for one in encode]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, counts)], names=[*[f"k{i}" for i in range(len(names))], *[f"n{i}" for i in range(len(encode))]])
 
-    schema = ", ".join([f"k{i} {texts.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["n long"])
+    schema = ", ".join([f"k{i} {texts.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + [f"n{i} long" for i in range(len(outs))])
     ordered = texts.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("t"))
-    return ordered.mapInArrow(run, schema).toDF(*names, out)
+    return ordered.mapInArrow(run, schema).toDF(*names, *outs)
 
 
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
