@@ -4,8 +4,6 @@ speakers by file, and totals.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,23 +91,28 @@ def overlaps(stretches: DataFrame) -> DataFrame:
 
 
 def best_mapping(shared: DataFrame) -> DataFrame:
-    """(file_id, r, h): the one-to-one mapping that shares the most time in each file."""
-    key = shared.schema["file_id"].dataType.simpleString()
+    """(file_id, to): the one-to-one mapping (a map from reference to hypothesis speakers) that shares
+    the most time in each file. A row holds the pairs of one file's speakers; rows go to Python in batches."""
+
+    @F.pandas_udf("map<string, string>")
+    def solved(refs: pd.Series, hyps: pd.Series, seconds: pd.Series) -> pd.Series:
+        def one(r, h, s) -> dict[str, str]:
+            (rows, i), (columns, j) = (np.unique(np.asarray(x, dtype=str), return_inverse=True) for x in (r, h))
+            time = np.zeros((len(rows), len(columns)))
+            np.add.at(time, (i, j), s)
+            return {str(rows[a]): str(columns[b]) for a, b in assign(-time) if time[a, b] > 0}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.pivot_table(index="r", columns="h", values="seconds", aggfunc="sum", fill_value=0.0).sort_index().sort_index(axis=1)
-        pairs = [(t.index[a], t.columns[b]) for a, b in assign(-t.to_numpy()) if t.iat[a, b] > 0]
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]] * len(pairs), "r": [p[0] for p in pairs], "h": [p[1] for p in pairs]})
+        return pd.Series([one(*x) for x in zip(refs, hyps, seconds)], dtype=object)
 
-    return shared.groupBy("file_id").applyInPandas(one, f"file_id {key}, r string, h string")
+    named = shared.filter("r is not null and h is not null").groupBy("file_id").agg(F.collect_list(F.struct("r", "h", "seconds")).alias("pairs"))
+    return named.select("file_id", solved("pairs.r", "pairs.h", "pairs.seconds").alias("to"))
 
 
 def error_components(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR) -> DataFrame:
     """(file_id, total, false_alarm, missed, confusion, correct, der), overlapped speech scored; a
     file of only one of the two tables is scored too. der is null where no time counts."""
     s = cut(stretch_counts(reference, hypothesis, collar))  # read twice: for the mapping and for the sums
-    mapped = best_mapping(overlaps(s)).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "h"))).alias("to"))
-    s = s.join(mapped, "file_id", "left")
+    s = s.join(best_mapping(overlaps(s)), "file_id", "left")
     d, nr, nh = F.col("b") - F.col("a"), F.size("ref"), F.size("hyp")
     right = F.coalesce(F.expr("size(filter(ref, r -> array_contains(hyp, to[r])))"), F.lit(0))
     right = F.when(F.col("to").isNull(), F.lit(0)).otherwise(right)
@@ -139,22 +142,3 @@ def summary(components: DataFrame, timing: DataFrame | None = None) -> DataFrame
         rtf = F.col("seconds") / F.nullif(F.col("duration"), F.lit(0.0))
         aggs += [F.avg(rtf).alias("mean_rtf"), F.min(rtf).alias("min_rtf"), F.max(rtf).alias("max_rtf"), (F.sum("seconds") / F.nullif(F.sum("duration"), F.lit(0.0))).alias("global_rtf")]
     return c.agg(*aggs)
-
-
-def brute_force_der(reference: list[tuple[float, float, str]], hypothesis: list[tuple[float, float, str]], collar: float = COLLAR) -> float | None:
-    """The error rate of one small file by trying every mapping; for tests."""
-    half = collar / 2
-    edges = [t for a, b, _ in reference for t in (a, b)]
-    points = sorted({t for a, b, _ in [*reference, *hypothesis] for t in (a, b)} | {t + s for t in edges for s in (-half, half)})
-    rows = []
-    for a, b in zip(points, points[1:]):
-        m = (a + b) / 2
-        if b > a and not any(e - half < m < e + half for e in edges):
-            rows.append((b - a, {s for x, y, s in reference if x <= m < y}, {s for x, y, s in hypothesis if x <= m < y}))
-    total = sum(d * len(r) for d, r, _ in rows)
-    if not total:
-        return None
-    rs, hs = sorted({s for *_, s in reference}), sorted({s for *_, s in hypothesis})
-    hs += [f"\0{i}" for i in range(len(rs))]
-    wrong = min(sum(d * (max(len(r), len(h)) - sum(m.get(x) in h for x in r)) for d, r, h in rows) for p in itertools.permutations(hs, len(rs)) for m in [dict(zip(rs, p))])
-    return wrong / total

@@ -124,7 +124,7 @@ def reassign_minor(vectors: DataFrame, least: int = 4) -> DataFrame:
     return moved.withColumn("new_label", new).select(*vectors.columns, "new_label")
 
 
-def merge_similar_sql(cents: DataFrame, threshold: float = SAME_SPEAKER) -> DataFrame:
+def merge_similar(cents: DataFrame, threshold: float = SAME_SPEAKER) -> DataFrame:
     """Merges labels of (file_id, label, centroid, n) while the two most alike centroids have a cosine
     of `threshold` or more; the higher label goes into the lower. Adds merged.
 

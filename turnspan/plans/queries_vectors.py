@@ -90,7 +90,7 @@ def filter_minor(spark, sf_dir):
 @register("merge_by_cos")
 def merge_by_cos(spark, sf_dir):
     """A threshold of 0.2, at which labels of these tables do merge."""
-    return vectors.merge_similar_sql(vectors.centroids(v.v_vec(spark, sf_dir)), 0.2)
+    return vectors.merge_similar(vectors.centroids(v.v_vec(spark, sf_dir)), 0.2)
 
 
 @register("cluster_spectral")
