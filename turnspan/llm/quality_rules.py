@@ -5,6 +5,9 @@ breaks; no user function runs. A text's words are bound once, in a lambda, so ea
 
 Edge cases: a null text counts as an empty one, with no words, and fails on length; an empty table
 gives an empty result; repeated rows are judged alike; other columns are kept, whatever their names.
+Repeated windows are those of equal 64-bit hashes, which are not compared word by word: two different
+windows of a text of n words would be taken as equal with a probability of about n^2 / 2^65. The rule
+of stop words knows four languages only and rejects long texts of any other.
 """
 
 from __future__ import annotations
