@@ -394,6 +394,40 @@ def test_pairwise_ranking_learns_an_order():
     assert abs((raw < m.threshold).mean() - (y == 0).mean()) < 0.01
 
 
+def test_quality_learns_from_every_pair():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, len(quality_rank.FEATURES)))
+    y = (x[:, 0] - 2 * x[:, 3] + rng.normal(size=300) > -1).astype(int)
+    m = quality_rank.learn(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(diff @ w))
+        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-2 * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, diff.T @ p / len(diff) - 1e-2 * w)
+    assert np.abs(m.weights - w).max() < 1e-3
+    raw = np.sort(np.clip((x - m.mean) / m.scale, -6, 6) @ m.weights)
+    n = int((y == 0).sum())
+    assert abs(m.threshold - (raw[n - 1] + raw[n]) / 2) < 1e-9 and abs(m.spread - raw.std() / 2) < 1e-6
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    n = 24_000
+    text = "CASE WHEN id % 3 = 0 THEN repeat('ab ', cast(id % 40 AS int)) ELSE concat('word ', id, ' and more, of ', id * 7, '.') END"
+    docs = spark.range(n).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 3 > 0 AS int) AS quality")
+    m = quality_rank.fit(docs, labels)
+    rows = docs.orderBy("doc_id").collect()
+    data = np.frombuffer("".join(r.text for r in rows).encode(), np.uint8)
+    x = quality_rank.features(data, np.cumsum([0] + [len(r.text) for r in rows]))
+    assert np.abs(m.mean - x.mean(axis=0)).max() < 1e-7
+    want = quality_rank.learn(x, np.arange(n) % 3 > 0)
+    other = quality_rank.fit(docs.repartition(7), labels.repartition(3))
+    for a in (m, other):  # the same to the last bit, whatever the partitions
+        assert (a.weights == want.weights).all() and (a.threshold, a.spread) == (want.threshold, want.spread)
+
+
 def held_out(spark, name, column):
     got = QUERIES[name](spark, SF).join(table(spark, SF, "labels"), "doc_id").filter("held_out").collect()
     return [(getattr(r, column), r.predicted, r.score) for r in got]

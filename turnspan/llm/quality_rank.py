@@ -1,35 +1,44 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-Every text gets a few shape features (length, case, symbols, repetition, lines). From labelled rows,
-preference pairs (a good text before a bad one) train a linear score by logistic loss on the
+Every text gets a few shape features (length, case, symbols, repetition, lines). The preferences of
+every labelled good text before every labelled bad one train a linear score by logistic loss on the
 difference of the two texts' features; so the score is the log of a Bradley-Terry strength. The
 threshold is a quantile of the labelled rows' scores, the share of bad ones among them. Scores are
 given from 0 to 1, so that `cut` stands for that threshold.
 
-At most about `sample` labelled rows, as a fixed number of features each, reach the driver; all
-other work is one narrow pass over the texts.
+All labelled rows and all their pairs count, and no row reaches the driver. A pair's loss depends on
+the difference of its two scores only, so sums over pairs follow from sums over rows by class and
+place on a grid of scores, a row parted between the two places around its score (by this the loss's
+slope is wrong by 1e-4 at most). Each Newton step is one pass over the labelled rows' features; the
+quantile is selected exactly, by 16 bits of the scores a pass. All sums are of whole numbers, so a
+model depends on no order, batch or partition.
 
 Edge cases: a null or empty text has zero features and a score like any other; labels that are null
 or of unknown ids count for nothing; a text labelled more than once takes its lowest label; without
 labels of both kinds all scores are `cut` (no evidence against a text); repeated rows get equal
-results; other columns are kept, whatever their names.
+results, and each of them counts; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import add_columns, sampled
-from .textnum import SOLID, Words, slices, windows
+from turnspan.session import cut as checkpointed
+
+from .batches import add_columns, counted
+from .textnum import SOLID, Words, column_bytes, slices, windows
 
-SAMPLE = 20_000
-PAIRS = 60_000
 CUT = 0.3
+GRID = 16  # places a unit of score
+PART_ROWS = 100_000  # labelled rows' features in a partition
+_ONE = 2.0**24  # what stands for 1 in sums
 FEATURES = (
     "log_words", "word_bytes", "capitals", "digits", "symbols", "bangs", "points", "letterless_words",
     "repeated_neighbours", "repeated_words", "repeated_triples", "repeated_lines", "lines_per_word", "long_words",
@@ -124,52 +133,207 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def learn(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-2, cut: float = CUT, seed: int = 11) -> RankModel:
-    """Fits the strengths by Newton steps on `pairs` random preference pairs."""
-    mean, scale = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES)), x.std(axis=0) + 1e-6 if len(x) else np.ones(len(FEATURES))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return RankModel(np.zeros(len(FEATURES)), mean, scale, 0.0, 1.0, cut)
-    z = np.clip((x - mean) / scale, -6, 6)
-    rng = np.random.default_rng(seed)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
+Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Sums = Callable[[Callable[[], Kernel]], tuple[np.ndarray, np.ndarray]]
+
+
+def _strengths(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return (np.clip((x - mean) / scale, -6, 6) * weights).sum(axis=1)  # not by @, whose last bits depend on the batch
+
+
+def _rows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels from the bytes of rows of (label, features)."""
+    rows = np.frombuffer(data.tobytes(), dtype=np.float64).reshape(-1, 1 + len(FEATURES))
+    return rows[:, 1:], rows[:, 0]
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of whole values by key."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))[: len(keys)]
+    return keys[order][first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * _ONE).astype(np.int64)
+
+
+def _moments(read: Callable[[np.ndarray], np.ndarray]) -> Callable[[], Kernel]:
+    """Sums of what read() makes of a batch (a column for each value) and of its squares; each in two
+    parts, as a square of up to 2^62 must fit beside a millionth."""
+
+    def kernel(data: np.ndarray, offs: np.ndarray):
+        v = read(data)
+        v = np.concatenate([v, v * v], axis=1)
+        high = np.floor(v / 2**20)
+        sums = np.concatenate([high.astype(np.int64).sum(axis=0), _whole(v - high * 2**20).sum(axis=0), [len(v)]])
+        return np.arange(len(sums)), sums
+
+    return lambda: kernel
+
+
+def _mean_and_std(sums: Sums, read: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    total = np.zeros(4 * width + 1)
+    keys, n = sums(_moments(read))
+    total[keys] = n
+    rows = int(total[-1])
+    if not rows:
+        return 0, np.zeros(width), np.ones(width)
+    first, second = ((total[: 2 * width] * 2**20 + total[2 * width : -1] / _ONE) / rows).reshape(2, width)
+    return rows, first, np.sqrt(np.maximum(second - first * first, 0))
+
+
+def _placed(mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> Callable[[], Kernel]:
+    """By place of the grid and class, whole sums of: the rows' shares, their features times these, and
+    products of two features (a row's at its lower place). A key is (place, class, which sum)."""
+    upper = np.triu_indices(len(FEATURES))
+    width = 1 + len(FEATURES) + len(upper[0])
+
+    def kernel(data: np.ndarray, offs: np.ndarray):
+        x, y = _rows(data)
+        x, y = x[(y == 0) | (y == 1)], y[(y == 0) | (y == 1)].astype(np.int64)
+        if not len(y):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        z = np.clip((x - mean) / scale, -6, 6)
+        at = _strengths(x, mean, scale, weights) * GRID
+        low = np.floor(at)
+        keys, values = [], []
+        for place, share, products in ((low, 1 - (at - low), 1), (low + 1, at - low, 0)):
+            v = _whole(np.concatenate([share[:, None], share[:, None] * z, products * z[:, upper[0]] * z[:, upper[1]]], axis=1))
+            k, v = _grouped(place.astype(np.int64) * 2 + y, v)
+            keys.append((k[:, None] * width + np.arange(width)).ravel())
+            values.append(v.ravel())
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        return keys[values != 0], values[values != 0]
+
+    return lambda: kernel
+
+
+def _newton(keys: np.ndarray, sums: np.ndarray, pairs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean gradient and Hessian of all pairs' log likelihood, from the sums of _placed."""
+    f = len(FEATURES)
+    upper = np.triu_indices(f)
+    width = 1 + f + len(upper[0])
+    least = int(keys.min()) // (2 * width)
+    table = np.zeros((int(keys.max()) // (2 * width) - least + 1, 2, width))
+    table.reshape(-1)[keys - least * 2 * width] = sums / _ONE
+    bad, good = table[:, 0], table[:, 1]
+    gradient, cross = np.zeros(f), np.zeros((f, f))
+    own = np.zeros((2, len(upper[0])))
+    k = len(table)
+    # Whether a bad text wins against a good one, by the difference of their places.
+    lost = _logistic(np.arange(k - 1, -k, -1) / GRID)
+    for i in range(0, k, 512):
+        p = lost[(np.arange(i, min(i + 512, k))[:, None] - np.arange(k)) + k - 1]
+        g = good[i : i + 512]
+        gradient += g[:, 1 : 1 + f].T @ (p @ bad[:, 0]) - (g[:, 0] @ p) @ bad[:, 1 : 1 + f]
+        h = p * (1 - p)
+        cross += g[:, 1 : 1 + f].T @ (h @ bad[:, 1 : 1 + f])
+        own[1] += (h @ bad[:, 0]) @ g[:, 1 + f :]
+        own[0] += (g[:, 0] @ h) @ bad[:, 1 + f :]
+    hessian = np.zeros((f, f))
+    hessian[upper] = own.sum(axis=0)
+    hessian = hessian + np.triu(hessian, 1).T - cross - cross.T
+    return gradient / pairs, hessian / pairs
+
+
+def _order_statistics(sums: Sums, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, ranks: list[int]) -> list[float]:
+    """The strengths of these ranks, from 0, among all rows."""
+    found = [(0, rank) for rank in ranks]  # the leading bits, and the rank among the rows that have them
+    for shift in (48, 32, 16, 0):
+        known = np.unique([bits for bits, _ in found])
+
+        def kernel(data: np.ndarray, offs: np.ndarray):
+            bits = _strengths(_rows(data)[0], mean, scale, weights).view(np.int64)
+            code = np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63))).view(np.uint64)  # in the order of the numbers
+            code = code[np.isin(code >> np.uint64(shift + 16), known.astype(np.uint64))] if shift < 48 else code
+            keys, n = np.unique(code >> np.uint64(shift), return_counts=True)
+            return keys.view(np.int64), n
+
+        keys, n = sums(lambda: kernel)
+        keys = keys.astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        for i, (bits, rank) in enumerate(found):
+            here = (keys >> np.uint64(16)) == np.uint64(bits) if shift < 48 else np.ones(len(keys), bool)
+            ends = np.cumsum(n[here])
+            j = int(np.searchsorted(ends, rank, side="right"))
+            found[i] = (int(keys[here][j]), rank - int(ends[j] - n[here][j]))
+    codes = np.array([bits for bits, _ in found], dtype=np.uint64).view(np.int64)
+    return np.where(codes < 0, codes ^ np.int64(-(2**63)), ~codes).view(np.float64).tolist()
+
+
+def _learn(sums: Sums, penalty: float = 1e-2, cut: float = CUT) -> RankModel:
+    """Fits the strengths by Newton steps. sums() gives the sums by key of what a kernel makes of all rows."""
+    f = len(FEATURES)
+
+    def features_and_classes(data: np.ndarray) -> np.ndarray:
+        x, y = _rows(data)
+        return np.concatenate([x, (y == 0)[:, None], (y == 1)[:, None]], axis=1)
+
+    rows, mean, std = _mean_and_std(sums, features_and_classes, f + 2)
+    bad, good = (int(round(share * rows)) for share in mean[f:])
+    mean, scale = mean[:f], std[:f] + 1e-6 if rows else std[:f]
+    if not good or not bad:
+        return RankModel(np.zeros(f), mean, scale, 0.0, 1.0, cut)
+    w = np.zeros(f)
     for _ in range(25):
-        p = _logistic(diff @ w)
-        gradient = diff.T @ (1 - p) / pairs - penalty * w
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + penalty * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        gradient, hessian = _newton(*sums(_placed(mean, scale, w)), float(good) * bad)
+        step = np.linalg.solve(hessian + penalty * np.eye(f), gradient - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
             break
-    raw = np.sort(z @ w)
-    at = min(max(int(round(len(bad) / len(raw) * len(raw))), 1), len(raw) - 1)
-    threshold = float(raw[at - 1] + raw[at]) / 2
-    return RankModel(w, mean, scale, threshold, float(max(np.std(raw) / 2, 1e-6)), cut)
+    at = min(max(bad, 1), rows - 1)
+    threshold = sum(_order_statistics(sums, mean, scale, w, [at - 1, at])) / 2
+    _, _, std = _mean_and_std(sums, lambda data: np.abs(_strengths(_rows(data)[0], mean, scale, w) + 6 * np.abs(w).sum())[:, None], 1)
+    return RankModel(w, mean, scale, threshold, float(max(std[0] / 2, 1e-6)), cut)
+
+
+def learn(x: np.ndarray, y: np.ndarray, **options) -> RankModel:
+    """The model of these features and labels (0 or 1)."""
+    data = np.concatenate([np.asarray(y, np.float64).reshape(-1, 1), np.asarray(x, np.float64).reshape(-1, len(FEATURES))], axis=1)
+    return _learn(lambda make: _grouped(*make()(data.reshape(-1).view(np.uint8), np.arange(len(data) + 1))), **options)
+
+
+def described(docs: DataFrame, text_col: str = "text", name: str = "x", keep: list[str] | None = None) -> DataFrame:
+    """`docs` with the bytes of each text's features, for fit() and score()."""
+    return add_columns(docs, text_col, _make_features, [T.StructField(name, T.BinaryType())], keep)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, **options) -> RankModel:
-    """Learns from the rows of `docs` that `labels` (id, 0 or 1) names; pass only training rows."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", x_col: str | None = None, **options) -> RankModel:
+    """Learns from all rows of `docs` that `labels` (id, 0 or 1) names; pass only training rows.
+    x_col: a column that described() has made, in the place of the text."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter("id is not null and label is not null")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    total = known.count()
-    some = sampled(known, sample, total, F.col("id"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    joined = texts.join(F.broadcast(some), "id")  # the sample's size is fixed
-    rows = add_columns(joined, "text", _make_features, [T.StructField("x", T.BinaryType())], keep=["label"])
-    x, y = [], []
-    for r in rows.orderBy("x", "label").limit(2 * sample).collect():  # ids that repeat in docs could bring more
-        x.append(np.frombuffer(r.x, dtype=np.float64))
-        y.append(r.label)
-    return learn(np.array(x).reshape(-1, len(FEATURES)), np.array(y), **options)
+    if x_col is None:
+        x_col = "x"
+        docs = described(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), name="x", keep=["id"]).withColumnRenamed("id", id_col)
+    joined = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{x_col}`").alias("x")).join(known, "id").select("label", "x")
+    rows = checkpointed(joined.mapInArrow(_labelled, "x binary"))
+    rows = rows.coalesce(rows.count() // PART_ROWS + 1)
+
+    def sums(make: Callable[[], Kernel]) -> tuple[np.ndarray, np.ndarray]:
+        got = counted(rows, "x", make).toArrow()
+        return got.column("k").to_numpy(), got.column("n").to_numpy()
+
+    return _learn(sums, **options)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, x) to the bytes of both."""
+    for batch in batches:
+        x = np.frombuffer(column_bytes(batch.column(1))[0].tobytes(), dtype=np.float64).reshape(-1, len(FEATURES))
+        rows = np.concatenate([batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)[:, None], x], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["x"])
 
 
 def _make_features():
     return lambda data, offs: [[v.tobytes() for v in features(data, offs)]]
 
 
-def score(docs: DataFrame, model: RankModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
-    """`docs` with {prefix}score (0 to 1, higher: better) and {prefix}strength (the raw score)."""
+def score(docs: DataFrame, model: RankModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None, x_col: str | None = None) -> DataFrame:
+    """`docs` with {prefix}score (0 to 1, higher: better) and {prefix}strength (the raw score).
+    x_col: a column that described() has made, in the place of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -177,9 +341,10 @@ def score(docs: DataFrame, model: RankModel, text_col: str = "text", prefix: str
         offset = np.log(m.cut / (1 - m.cut))
 
         def scores(data: np.ndarray, offs: np.ndarray):
-            raw = np.clip((features(data, offs) - m.mean) / m.scale, -6, 6) @ m.weights
+            x = features(data, offs) if x_col is None else np.frombuffer(data.tobytes(), dtype=np.float64).reshape(-1, len(FEATURES))
+            raw = _strengths(x, m.mean, m.scale, m.weights)
             return [_logistic((raw - m.threshold) / m.spread + offset), raw]
 
         return scores
 
-    return add_columns(docs, text_col, make, [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}strength", T.DoubleType())], keep)
+    return add_columns(docs, x_col or text_col, make, [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}strength", T.DoubleType())], keep)
