@@ -3,8 +3,10 @@
 import io
 import os
 import random
+import tracemalloc
 import zipfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from turnspan.llm import components, decontaminate, html_text, mixing, neardup, quality_rank, textnum, token_counts, toxicity, warc
 from turnspan.llm.registry import QUERIES, table
+from turnspan.session import shared_dir
 import turnspan.llm.queries  # noqa: F401, I001
 
 SF = "/root/testdata/sf0.01"
@@ -384,6 +387,38 @@ def test_block_max_index_is_exact():
         assert np.allclose(got_c, cosine[want]) and np.allclose(np.sort(cosine[got_e]), np.sort(cosine[want]))
 
 
+def test_near_duplicate_tables_are_few_files(spark):
+    """A checkpoint has a file for each partition, and each file is a process that Hadoop starts."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('one two three four five six seven eight nine ten ', repeat('on and on ', cast(id % 50 AS int)), id % 100) AS text")
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    files = lambda: sum(1 for _ in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        had = files()
+        got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files() - had < 200
+    assert len(got) == 300 and all(got[i] == got[i % 100] for i in range(300))
+
+
+def test_near_duplicate_kernels_hold_few_pairs():
+    n, groups = 6000, 6
+    sig = np.random.default_rng(0).integers(0, 256, neardup.COMPONENTS).astype(np.uint8).tobytes()
+    node = np.arange(n)
+    batch = pa.RecordBatch.from_arrays([pa.array(node * groups // n), pa.array(node), pa.array(node), pa.array([sig] * n), pa.array(["a b c d e f"] * n)], names=["g", "node", "kin", "sig", "text"])
+    for kernel, columns in ((neardup._candidates, 4), (neardup._verified, 5)):
+        tracemalloc.start()
+        links = {u: v for t in kernel(iter([batch.select(range(columns))])) for u, v in zip(t.column(0).to_pylist(), t.column(1).to_pylist())}
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert links == {x: x // 1000 * 1000 for x in range(n) if x % 1000}
+        assert peak < 50, peak
+
+
 def test_pairwise_ranking_learns_an_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, len(quality_rank.FEATURES)))

@@ -10,6 +10,13 @@ from turnspan.session import cut
 PART_ROWS = 50_000
 
 
+def parts_of(rows: int) -> int:
+    """In how many partitions a table of so many short rows is kept. Each partition of a checkpoint is
+    a file of its own, and without its native library Hadoop starts a process for each file that it
+    writes; so many tiny partitions cost more than their rows."""
+    return rows // PART_ROWS + 1
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """The rows of a checkpoint without what the optimizer knows of its order, partitioning and values: that
     doubles with each round, and planning would soon take longer than the work."""
@@ -17,8 +24,9 @@ def _plain(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(q.toRdd(), df._jdf.schema(), False), spark)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long): root is the least id of its component.
+    most: a number that the rows of `edges` don't exceed, where one is known.
 
     Each round hangs larger neighbours on a node's least neighbour, then smaller ones, until every
     component is one star. Only least ids are aggregated by node, so nodes with many neighbours
@@ -26,13 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
     are kept in partitions of about PART_ROWS rows, as a round of many tiny ones is mostly files.
     Edges with a null end or from a node to itself are left out.
     """
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e if most is None else e.coalesce(parts_of(most)))
     count, before = e.count(), None
 
     def held(df: DataFrame) -> DataFrame:  # no table of a round has more rows than twice the links
-        return cut(df.coalesce(2 * count // PART_ROWS + 1))
+        return cut(df.coalesce(parts_of(2 * count)))
 
-    e = _plain(e.coalesce(2 * count // PART_ROWS + 1))
+    e = _plain(e.coalesce(parts_of(2 * count)))
     while True:  # a number of rounds that grows with the logarithm of the nodes
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Least ids are written before they are joined: a join of two shuffled tables is one that

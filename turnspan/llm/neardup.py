@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from turnspan.session import cut
 
 from .batches import add_columns
-from .components import PART_ROWS, components
+from .components import components, parts_of
 from .textnum import ALNUM, SOLID, U64, Words, column_bytes, mix, slices, windows
 
 WORDS = 5
@@ -55,6 +55,10 @@ LEAST_EQUAL = 83  # of 128 components: a similarity of 0.65
 BLOCK_ROWS = 1024  # rows of a bucket that meet in one task
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8_000_000  # texts of a component that meet in one task
 BROADCAST_ROWS = 200_000  # of (id, content, node)
+# What a worker handles at once: only its memory depends on these.
+SLICE_BYTES, SLICE_TEXTS = 1_000_000, 8192  # texts
+PIECE_ROWS = 2048  # rows of whole groups
+PIECE_PAIRS = 50_000  # pairs of rows
 _LOW48 = U64((1 << 48) - 1)
 
 
@@ -131,7 +135,7 @@ def bag_minhash(data: np.ndarray, offs: np.ndarray, m: int = COMPONENTS) -> tupl
 def _signatures():
     def make(data: np.ndarray, offs: np.ndarray):
         rows: list[bytes | None] = []
-        for i, j in slices(offs, 3_000_000, 60_000):
+        for i, j in slices(offs, SLICE_BYTES, SLICE_TEXTS):
             signature, size = bag_minhash(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             rows += [s.tobytes() if k else None for s, k in zip(signature, size)]
         return [rows]
@@ -140,7 +144,7 @@ def _signatures():
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups (equal g, neighbours in the input)."""
+    """Tables of whole groups (equal g, neighbours in the input): of PIECE_ROWS rows at most, or one larger group."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -151,12 +155,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(batch)
             continue
         held.append(batch.slice(0, last))
-        table = pa.Table.from_batches(held)
-        if table.num_rows:
-            yield table
+        yield from _pieces(pa.Table.from_batches(held))
         held = [batch.slice(last)]
     if held:
-        yield pa.Table.from_batches(held)
+        yield from _pieces(pa.Table.from_batches(held))
+
+
+def _pieces(table: pa.Table) -> Iterator[pa.Table]:
+    g = table.column(0).to_numpy()
+    ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+    i = 0
+    while i < len(g):
+        j = int(ends[max(np.searchsorted(ends, i + PIECE_ROWS, side="right") - 1, np.searchsorted(ends, i, side="right"))])
+        yield table.slice(i, j - i)
+        i = j
 
 
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,27 +187,22 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _alike(sig: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (neighbours) whose signatures agree enough, and in how many components."""
-    a, b, equal = [], [], []
+def _alike(sig: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (neighbours) whose signatures agree enough, and in how many components;
+    at most PIECE_PAIRS at once, as a group of copies has as many as all its pairs."""
     n = len(group)
     k, rows = 1, np.arange(n - 1)
     while True:
         rows = rows[rows + k < n]
         rows = rows[group[rows] == group[rows + k]]
         if not len(rows):
-            break
-        for part in np.array_split(rows, len(rows) // 50_000 + 1):
+            return
+        for part in np.array_split(rows, len(rows) // PIECE_PAIRS + 1):
             same = (sig[part] == sig[part + k]).sum(axis=1)
             hit = same >= LEAST_EQUAL
-            a.append(part[hit])
-            b.append(part[hit] + k)
-            equal.append(same[hit])
+            if hit.any():
+                yield part[hit].astype(np.int32), (part[hit] + k).astype(np.int32), same[hit].astype(np.uint8)
         k += 1
-    if not a:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    return np.concatenate(a), np.concatenate(b), np.concatenate(equal)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -208,8 +215,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, node = t.column(0).to_numpy(), t.column(1).to_numpy()
         order = np.lexsort((node, g))  # the least row of a component is its least node
         g, node = g[order], node[order]
-        a, b, _ = _alike(_matrix(t.column(3))[order], g)
-        label = _least_labels(len(g), a, b)
+        label = np.arange(len(g))
+        for a, b, _ in _alike(_matrix(t.column(3))[order], g):
+            new = label[a] != label[b]
+            if new.any():  # those who are joined already need no further pair
+                label = _least_labels(len(g), np.append(a[new], np.arange(len(g))), np.append(b[new], label))
         hung = np.flatnonzero(label != np.arange(len(g)))
         yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"])
 
@@ -252,9 +262,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, node, kin = g[order], node[order], kin[order]
         data, offs = column_bytes(t.column(4).combine_chunks())
         bags: list[np.ndarray] = []
-        for i, j in slices(offs):
+        for i, j in slices(offs, SLICE_BYTES):
             bags += bag_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        a, b, equal = _alike(_matrix(t.column(3))[order], g)
+        found = list(_alike(_matrix(t.column(3))[order], g))
+        a, b, equal = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
         root = list(range(len(g)))
 
         def find(x: int) -> int:
@@ -266,11 +277,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[tuple[int, int], int] = {}
         for x, key in enumerate(zip(g.tolist(), kin.tolist())):
             root[x] = first.setdefault(key, x)
-        best = np.argsort(-equal, kind="stable")
-        for x, y in zip(a[best].tolist(), b[best].tolist()):
-            p, q = find(x), find(y)
-            if p != q and similar(bags[order[x]], bags[order[y]]):
-                root[max(p, q)] = min(p, q)
+        best = np.argsort(COMPONENTS - equal, kind="stable")
+        for part in np.array_split(best, len(best) // PIECE_PAIRS + 1):
+            for x, y in zip(a[part].tolist(), b[part].tolist()):
+                p, q = find(x), find(y)
+                if p != q and similar(bags[order[x]], bags[order[y]]):
+                    root[max(p, q)] = min(p, q)
         label = np.array([find(x) for x in range(len(g))], dtype=np.int64)
         hung = np.flatnonzero(label != np.arange(len(g)))
         yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[label[hung]])], names=["u", "v"])
@@ -293,16 +305,17 @@ def _linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel: K
         return dealt.mapInArrow(kernel, "u long, v long")
 
     tasks = F.greatest(F.count(F.lit(1)) / most_rows, F.sum("bytes") / most_bytes).alias("tasks")
-    sizes = cut(rows.groupBy("key").agg(tasks))
+    parts = parts_of(rows.count())  # tables of ids are kept in few partitions; a group has fewer links than rows
+    sizes = cut(rows.groupBy("key").agg(tasks).coalesce(parts))
     rows = rows.join(sizes, "key")
-    links = cut(met(_blocks(rows.withColumn("kin", F.col("node")), "tasks", 0)))
+    links = cut(met(_blocks(rows.withColumn("kin", F.col("node")), "tasks", 0)).repartition(parts))
     if sizes.filter("tasks > 1").isEmpty():
         return links
-    large, last, level = cut(rows.filter("tasks > 1").select("node", "key", "bytes")), None, 0
-    parts = large.count() // PART_ROWS + 1  # tables of ids are kept in few partitions, see components
+    large, last, level = cut(rows.filter("tasks > 1").select("node", "key", "bytes").coalesce(parts)), None, 0
+    parts = parts_of(large.count())
     large = large.coalesce(parts)
     while True:
-        roots = components(links)
+        roots = components(links, links.count())
         placed = cut(large.join(roots, "node", "left").select("node", "key", "bytes", F.coalesce("root", "node").alias("kin")).coalesce(parts))
         classes_ = cut(placed.groupBy("key", "kin").agg(F.min("node").alias("node"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")).coalesce(parts))
         several = cut(classes_.groupBy("key").agg(tasks, F.count(F.lit(1)).alias("classes")).filter("classes > 1").coalesce(parts))
@@ -312,16 +325,18 @@ def _linked(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], kernel: K
         if last is not None and 2 * now > last:
             break
         last, level = now, level + 1
-        links = cut(links.unionByName(met(_blocks(classes_.join(several, "key"), "tasks", level))))
+        links = cut(links.unionByName(met(_blocks(classes_.join(several, "key"), "tasks", level)).repartition(parts)))
     # What is left: rows of different classes. Blocks of the largest class don't meet each other.
     main = classes_.join(several.select("key"), "key").groupBy("key").agg(
         F.max(F.struct("n", "kin", "all_bytes")).alias("main"), F.sum("n").alias("n"), F.sum("all_bytes").alias("all_bytes")
     )
     per = lambda n, b: F.ceil(F.greatest(n / most_rows, b / most_bytes)).cast("long")
-    main = main.select("key", F.col("main.kin").alias("main"), per(F.col("main.n"), F.col("main.all_bytes")).alias("p"), per(F.col("n") - F.col("main.n"), F.col("all_bytes") - F.col("main.all_bytes")).alias("q"))
-    tiled = placed.join(cut(main), "key").withColumn("own", F.expr("if(kin = main, pmod(xxhash64(node), p), p + pmod(xxhash64(node), q))"))
+    main = main.select("key", F.col("main.kin").alias("main"), per(F.col("main.n"), F.col("main.all_bytes")).alias("p"), per(F.col("n") - F.col("main.n"), F.col("all_bytes") - F.col("main.all_bytes")).alias("q"), F.col("main.n").alias("n_main"), "n")
+    main = cut(main.coalesce(parts))
+    copies = main.agg(F.sum(F.expr("n_main * q + (n - n_main) * (p + q)"))).first()[0]
+    tiled = placed.join(main.select("key", "main", "p", "q"), "key").withColumn("own", F.expr("if(kin = main, pmod(xxhash64(node), p), p + pmod(xxhash64(node), q))"))
     tiled = tiled.withColumn("other", F.expr("explode(sequence(if(kin = main, p, 0L), p + q - 1))"))
-    return cut(links.unionByName(met(tiled.withColumn("g", F.expr("xxhash64(key, least(own, other), greatest(own, other))")))))
+    return cut(links.unionByName(met(tiled.withColumn("g", F.expr("xxhash64(key, least(own, other), greatest(own, other))"))).repartition(parts_of(copies))))
 
 
 def content_of(text: Column) -> Column:
@@ -337,20 +352,21 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
     # 1. One node for equal texts, then one for equal signatures.
     contents = base.filter("sig is not null and id is not null").groupBy("content", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
-    contents = cut(contents.withColumn("node", F.monotonically_increasing_id()))
-    sigs = cut(contents.groupBy("sig").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
+    contents = cut(contents.coalesce(parts_of(4 * base.count())).withColumn("node", F.monotonically_increasing_id()))  # 4: rows with a signature are longer
+    n = contents.count()
+    sigs = cut(contents.groupBy("sig").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).coalesce(parts_of(4 * n)))
 
     # 2. Buckets of two or more, and candidates in them.
     band = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {BAND_ROWS} + 1, {BAND_ROWS})))"
     members = sigs.select("node", F.explode(F.expr(band)).alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = cut(members.join(shared, "key").select("node", "key", F.lit(COMPONENTS).cast("long").alias("bytes")))
+    members = cut(members.join(shared, "key").select("node", "key", F.lit(COMPONENTS).cast("long").alias("bytes")).coalesce(parts_of(BANDS * n)))
     pairs = _linked(members, lambda df: df.join(sigs.select("node", "sig"), "node").select("g", "node", "kin", "sig"), _candidates, BLOCK_ROWS, BLOCK_BYTES)
     same_sig = contents.join(sigs.filter("n > 1").select("sig", F.col("node").alias("v")), "sig").filter("node <> v").select(F.col("node").alias("u"), "v")
 
     # 3. What must meet.
-    parts = components(pairs.unionByName(same_sig))
-    parts = cut(contents.select("node", "id", "content", "sig", "bytes").join(parts, "node").withColumnRenamed("root", "key"))
+    parts = components(pairs.unionByName(same_sig), pairs.count() + n)
+    parts = cut(contents.select("node", "id", "content", "sig", "bytes").join(parts, "node").withColumnRenamed("root", "key").coalesce(parts_of(4 * n)))
 
     # 4. Verified links. The text of a node is that of its least id, by a join of texts and nodes.
     named = parts.select("id", "content", "node")
@@ -360,12 +376,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     links = _linked(parts.select("node", "key", "bytes"), compared, _verified, BLOCK_TEXTS, BLOCK_BYTES)
 
     # 5. Classes of texts.
-    grouped = cut(contents.join(components(links), "node").select("content", "id", "root"))
-    least = cut(grouped.groupBy("root").agg(F.min(F.struct("id", "content")).alias("least")))
+    grouped = cut(contents.join(components(links, links.count()), "node").select("content", "id", "root").coalesce(parts_of(n)))
+    least = cut(grouped.groupBy("root").agg(F.min(F.struct("id", "content")).alias("least")).coalesce(parts_of(n)))
     moved = grouped.join(least, "root").select("content", F.col("least.id").alias("class_id"), F.col("least.content").alias("of"))
     copied = contents.filter("n > 1").join(grouped.select("content"), "content", "left_anti")
     moved = moved.unionByName(copied.select("content", F.col("id").alias("class_id"), F.col("content").alias("of")))
-    return base, cut(moved)  # written, so that the joins with hot texts can be split
+    return base, cut(moved.coalesce(parts_of(n)))  # written, so that the joins with hot texts can be split
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,9 +395,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of `docs` for each class, that of its least id, and all rows that have no id or no
     word; same columns."""
     base, moved = _found(docs, id_col, text_col)
-    rows = base.filter("id is not null and sig is not null").select("id", "content")
-    gone = rows.join(moved, "content").filter("content <> of or id <> class_id").select("id", "content").distinct()
-    again = rows.groupBy("id", "content").count().filter("count > 1").select("id", "content")
+    rows, parts = base.filter("id is not null and sig is not null").select("id", "content"), parts_of(base.count())
+    gone = rows.join(moved, "content").filter("content <> of or id <> class_id").select("id", "content").distinct().coalesce(parts)
+    again = rows.groupBy("id", "content").count().filter("count > 1").select("id", "content").coalesce(parts)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), content_of(F.col(f"`{text_col}`")).alias("content"))
     kept = packed.join(cut(gone), ["id", "content"], "left_anti")
     again = cut(again)
