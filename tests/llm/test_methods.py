@@ -13,9 +13,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnspan.llm import components, decontaminate, html_text, mixing, neardup, quality_rank, textnum, token_counts, toxicity, warc
+from turnspan.llm import components, decontaminate, html_text, language, mixing, neardup, quality_rank, textnum, token_counts, toxicity, warc
 from turnspan.llm.registry import QUERIES, table
-from turnspan.session import shared_dir
+from turnspan.session import cut, shared_dir
 import turnspan.llm.queries  # noqa: F401, I001
 
 SF = "/root/testdata/sf0.01"
@@ -167,6 +167,15 @@ def test_shards_and_reruns(spark):
     assert all(abs(total[x] - wanted[x]) <= 1 for x in wanted)
 
 
+def test_the_splitting_tree_is_planned_once(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "concat('s', cast(id % 3 as string)) as source")
+    plans = []
+    monkeypatch.setattr(mixing, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    _, sources, blocks = mixing.plan(docs, block_words=500, shards=4)
+    plans += [df._jdf.queryExecution().optimizedPlan().toString() for df in (sources, blocks)]
+    assert sum("zip_with" in p for p in plans) == 1
+
+
 @needs_tables
 def test_mix_comes_near_targets(spark):
     got = QUERIES["op1_mixing"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "source"), "doc_id")
@@ -488,6 +497,32 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
 
+def test_language_model_without_a_sample_on_the_driver(spark, monkeypatch):
+    """The model is that of k-means on all vectors here, though the driver gets centroids only."""
+    rng = np.random.default_rng(4)
+    texts = {x: ["".join(rng.choice(list(letters), 60)) for _ in range(120)] for x, letters in (("aa", "abcde fg"), ("bb", "ghijkl mno"))}
+    texts["zz"] = ["12 34", "", "!"]  # no letters: a language without centroids
+    rows = [(t, x) for x, some in texts.items() for t in some] + [(None, "aa"), ("abc", None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    sent, collect = [], type(docs).collect
+
+    def counted(df):
+        got = collect(df)
+        sent.extend(len(x) for r in got for x in r if isinstance(x, (bytes, bytearray)))
+        return got
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = language.fit(docs)
+    assert sum(sent) <= model.centroids.nbytes
+    assert model.languages == ("aa", "bb", "zz") and model.owner.tolist() == [0, 0, 0, 1, 1, 1] and model.reject_below[2] == 0
+    for i, x in enumerate(("aa", "bb")):
+        v = language.vectors(language.gram_counts(*packed(texts[x]), model.dims), model.idf).astype(np.float16)
+        p = np.array(sorted(v, key=lambda row: row.tobytes())).astype(np.float32)
+        c = language.kmeans(p, 3)
+        assert np.allclose(model.centroids[model.owner == i], c, atol=1e-6)
+        assert model.reject_below[i] == pytest.approx(0.5 * np.quantile((p @ c.T).max(axis=1), 0.005), abs=1e-6)
+
+
 # ---- pages ----------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="has-sidebar"><header><a href=/>Home</a> Site name</header>

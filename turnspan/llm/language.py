@@ -7,7 +7,7 @@ language of the centroid with the largest cosine, and is rejected where that cos
 share of the smallest cosines seen within that language.
 
 Document frequencies come from all training texts; about `sample` training texts, twice
-that at most, reach the driver as vectors of a fixed size, to be clustered.
+that at most, are clustered as vectors of a fixed size in one task. Only the model reaches the driver.
 
 Edge cases: a null or empty text, or one without any letter, gets `und` with score 0 and is
 rejected; with no training text at all everything is `und`; ties go to the language that sorts
@@ -16,10 +16,11 @@ first; repeated rows get equal results; other columns are kept, whatever their n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,19 +140,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     share = F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 11) * F.lit(2.0**-53)
     chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(each / by_lang[x])) for x in languages])
     held = _vectors_of(train.filter(share < chance), dims, idf)
-    held = held.orderBy("v", "lang").limit(2 * sample).collect()  # ids that repeat could bring more
-    owner, centres, floor = [], [], []
-    for i, x in enumerate(languages):
-        p = np.frombuffer(b"".join(r.v for r in held if r.lang == x), dtype=np.float16).astype(np.float32).reshape(-1, dims)
-        p = p[np.linalg.norm(p, axis=1) > 0.5]
-        if not len(p):
-            floor.append(0.0)
-            continue
-        c = kmeans(p, centroids)
+    held = held.orderBy("v", "lang").limit(2 * sample)  # ids that repeat could bring more
+    found = {r.at: r for r in _clustered(held, languages, dims, centroids, reject_share).collect()}
+    owner, centres, floor = [], [], [0.0] * len(languages)
+    for i in sorted(found):
+        c = np.frombuffer(found[i].centres, dtype=np.float32).reshape(-1, dims)
         owner += [i] * len(c)
         centres.append(c)
-        floor.append(reject_share * float(np.quantile((p @ c.T).max(axis=1), 0.005)))
-    return LanguageModel(languages, np.array(owner, int), np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, dims), np.float32), idf, np.array(floor), dims)
+        floor[i] = found[i].floor
+    return LanguageModel(languages, np.array(owner, int), np.concatenate(centres) if centres else np.zeros((0, dims), np.float32), idf, np.array(floor), dims)
 
 
 def _vectors_of(rows: DataFrame, dims: int, idf: np.ndarray) -> DataFrame:
@@ -167,6 +164,27 @@ def _vectors_of(rows: DataFrame, dims: int, idf: np.ndarray) -> DataFrame:
     return add_columns(rows, "text", make, [T.StructField("v", T.BinaryType())], keep=["lang"])
 
 
+def _clustered(held: DataFrame, languages: tuple[str, ...], dims: int, centroids: int, reject_share: float) -> DataFrame:
+    """(at, centres, floor) for each language that has texts with grams in `held` (v, lang: a bounded
+    sample): its place in `languages`, its centroids as float32 and its rejection floor."""
+    place = {x: i for i, x in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: list[list[bytes]] = [[] for _ in languages]
+        for batch in batches:
+            for v, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of[place[lang]].append(v)
+        for i, rows in enumerate(of):
+            p = np.frombuffer(b"".join(sorted(rows)), dtype=np.float16).astype(np.float32).reshape(-1, dims)
+            p = p[np.linalg.norm(p, axis=1) > 0.5]
+            if len(p):
+                c = kmeans(p, centroids)
+                floor = reject_share * float(np.quantile((p @ c.T).max(axis=1), 0.005))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.astype(np.float32).tobytes()], pa.binary()), pa.array([floor])], names=["at", "centres", "floor"])
+
+    return held.select("v", "lang").coalesce(1).mapInArrow(run, "at int, centres binary, floor double")
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """`docs` with {prefix}lang_pred (the nearest language, or `und` without letters),
     {prefix}score (0 to 1) and {prefix}rejected (too far from every centroid)."""

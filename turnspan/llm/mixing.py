@@ -152,11 +152,12 @@ def plan(
 
     drawn = blocks.withColumn("pass", F.explode(F.expr("filter(sequence(0, passes), p -> p < passes or partial)")))
     drawn = cut(drawn.select("src", "block", "pass", F.when(F.col("pass") == F.col("passes"), F.col("left")).alias("left")))
-    ends = splitting_tree(drawn.groupBy("src").agg(F.count(F.lit(1)).alias("quota")), shards, seed + 3)
+    # The tree is long to plan and its result short, a row each source: it is cut, so that no other query plans it again.
+    ends = cut(splitting_tree(drawn.groupBy("src").agg(F.count(F.lit(1)).alias("quota")), shards, seed + 3).coalesce(1))
     rank = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 4), "src", "block", "pass"), "block", "pass")
     ranked = drawn.withColumn("r", F.row_number().over(rank))
     sharded = ranked.join(F.broadcast(ends) if few else ends, "src").withColumn("shard", F.expr("size(filter(ends, x -> x < r))"))
-    table = sharded.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max("left").alias("left"))
+    table = cut(sharded.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max("left").alias("left")))
 
     # The partial draw of a block: its rows by their turn as far as they fit, and the one row of the
     # others that comes nearest to the words still missing. Turns fall into slots, whose sums tell the
