@@ -176,6 +176,23 @@ def test_the_splitting_tree_is_planned_once(spark, monkeypatch):
     assert sum("zip_with" in p for p in plans) == 1
 
 
+def test_short_tables_of_the_mix_are_few_files(spark, monkeypatch):
+    """A file for each shuffle partition, most of them empty, means a process for each on a cluster without Hadoop's native library."""
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "concat('s', cast(id % 3 as string)) as source").coalesce(2)
+    options = {"block_words": 500, "shards": 4}
+    want = sorted(map(str, mixing.taken(docs, **options).collect()))
+    made = []
+    monkeypatch.setattr(mixing, "cut", lambda df: made.append(cut(df)) or made[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(str, mixing.taken(docs, **options).collect())) == want
+        assert made and max(df.rdd.getNumPartitions() for df in made) <= 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @needs_tables
 def test_mix_comes_near_targets(spark):
     got = QUERIES["op1_mixing"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "source"), "doc_id")

@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 
 from turnspan.session import cut
 
+from .components import parts_of
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -140,24 +142,28 @@ def plan(
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     sources = sources.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     sources = cut(sources)
-    few = sources.count() <= BROADCAST_ROWS
+    n_sources = sources.count()
+    few = n_sources <= BROADCAST_ROWS
+    # Short tables are kept in few partitions, each a file. What sums up all rows is dealt anew only after that.
+    files = parts_of(sources.agg(F.sum("n_blocks")).first()[0] or 0)
+    slot_files = parts_of(n_sources << SLOT_BITS)  # a source has one block with a partial draw
 
     placed = with_source(hashed, sources, "source", few).withColumn("block", F.pmod("at", "n_blocks").cast("int"))
     blocks = placed.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    blocks = cut(blocks)
+    blocks = cut(blocks.repartition(files))
     turn = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 2), "src", "block"), "block")
     run = F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     blocks = blocks.withColumn("before", run - F.col("words")).withColumn("partial", F.col("before") < F.col("rest"))
     blocks = blocks.withColumn("left", F.when(F.col("partial") & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before")))
 
     drawn = blocks.withColumn("pass", F.explode(F.expr("filter(sequence(0, passes), p -> p < passes or partial)")))
-    drawn = cut(drawn.select("src", "block", "pass", F.when(F.col("pass") == F.col("passes"), F.col("left")).alias("left")))
+    drawn = cut(drawn.select("src", "block", "pass", F.when(F.col("pass") == F.col("passes"), F.col("left")).alias("left")).coalesce(files))
     # The tree is long to plan and its result short, a row each source: it is cut, so that no other query plans it again.
     ends = cut(splitting_tree(drawn.groupBy("src").agg(F.count(F.lit(1)).alias("quota")), shards, seed + 3).coalesce(1))
     rank = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 4), "src", "block", "pass"), "block", "pass")
     ranked = drawn.withColumn("r", F.row_number().over(rank))
     sharded = ranked.join(F.broadcast(ends) if few else ends, "src").withColumn("shard", F.expr("size(filter(ends, x -> x < r))"))
-    table = cut(sharded.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max("left").alias("left")))
+    table = cut(sharded.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"), F.max("left").alias("left")).coalesce(files))
 
     # The partial draw of a block: its rows by their turn as far as they fit, and the one row of the
     # others that comes nearest to the words still missing. Turns fall into slots, whose sums tell the
@@ -173,7 +179,7 @@ def plan(
         F.max(F.when(F.col("upto") <= F.col("left"), F.struct("slot", "upto"))).alias("full"), F.min(F.when(F.col("upto") > F.col("left"), F.col("slot"))).alias("slot")
     )
     before = F.coalesce("full.upto", F.lit(0)).alias("before")
-    edge = cut(edge.select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), F.col("slot").alias("e_slot"), before, F.col("full.slot").alias("full_slot")))
+    edge = cut(edge.select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), F.col("slot").alias("e_slot"), before, F.col("full.slot").alias("full_slot")).coalesce(slot_files))
     edge = F.broadcast(edge) if few else edge
     inside = inside.join(edge, (F.col("src") == F.col("e_src")) & (F.col("block") == F.col("e_block")))
     by_turn = Window.partitionBy("src", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -182,7 +188,7 @@ def plan(
     parts = parts.groupBy("src", "block").agg(F.max(F.struct("turn", "upto")).alias("last"))
     last_of = F.expr(f"if(full_slot is null, null, shiftleft(full_slot, {64 - SLOT_BITS}) + {(1 << (64 - SLOT_BITS)) - 1}L)")  # the last turn of a slot
     ends = edge.join(parts, (F.col("e_src") == F.col("src")) & (F.col("e_block") == F.col("block")), "left")
-    ends = cut(ends.select("e_src", "e_block", F.coalesce("last.turn", last_of).alias("cut"), F.coalesce("last.upto", "before").alias("got")))
+    ends = cut(ends.select("e_src", "e_block", F.coalesce("last.turn", last_of).alias("cut"), F.coalesce("last.upto", "before").alias("got")).coalesce(slot_files))
     rest = inside.drop("e_src", "e_block").join(F.broadcast(ends) if few else ends, (F.col("src") == F.col("e_src")) & (F.col("block") == F.col("e_block")))
     rest = rest.filter("cut is null or turn > cut").groupBy("src", "block", "turn", "left", "got").agg(F.sum("size").alias("own"))
     rest = rest.withColumn("off", F.abs(F.col("left") - F.col("got") - F.col("own"))).filter("off < left - got")
@@ -192,7 +198,7 @@ def plan(
     table = table.join(cuts, ["src", "block"], "left").select(
         "src", "block", "draws", F.when(F.col("left").isNotNull(), F.coalesce("cut", lowest)).alias("cut"), "extra"
     )
-    return rows, sources, cut(table)
+    return rows, sources, cut(table.coalesce(files))
 
 
 def with_source(rows: DataFrame, sources: DataFrame, source_col: str, few: bool) -> DataFrame:
