@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -21,6 +23,29 @@ def test_spectral_finds_planted_clusters():
     assert same_partition(cluster.cluster(x, cluster.SpectralConfig()).tolist(), y.tolist())
 
 
+@pytest.mark.parametrize("k", [1, 3, 9])
+def test_spectral_of_kept_entries_equals_the_full_matrix(monkeypatch, k):
+    x, _ = planted(k, 540 // k)
+    full = cluster.spectral_labels(x)
+    monkeypatch.setattr(cluster, "FULL_MATRIX", 0)
+    assert (cluster.spectral_labels(x) == full).all() and len(set(full)) == k
+
+
+def test_smallest_eigen_finds_equal_values():
+    d = np.concatenate([np.zeros(7), np.full(5, 1.5), np.linspace(2, 90, 300)])
+    values, basis = cluster.smallest_eigen(lambda v: d * v, len(d), 11, 90.0)
+    assert np.allclose(values, [0] * 7 + [1.5] * 4, atol=1e-7) and np.allclose(basis.T @ basis, np.eye(11), atol=1e-6)
+
+
+def test_spectral_holds_no_full_matrix():
+    x, y = planted(4, 900)
+    tracemalloc.start()
+    got = cluster.spectral_labels(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert same_partition(got.tolist(), y.tolist()) and peak < 8 * len(x) ** 2
+
+
 def test_density_finds_planted_clusters():
     x, y = planted(3, 60, 12, 0.1)
     got = cluster.hdbscan_labels(x, 10, 10)
