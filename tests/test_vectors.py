@@ -140,3 +140,12 @@ def test_pruned_affinity_of_a_file_in_several_tasks(spark):
     want = vectors.prune(vectors.affinity(keyed).withColumn("sim", F.floor(F.col("sim") * 1e6 + 0.5) / 1e6)).collect()
     got, tasks = by_partition(spark, vectors.pruned_affinity(df, digits=6))
     assert sorted((-1 if f is None else f, *r) for f, *r in got) == sorted(map(tuple, want)) and tasks > 1
+
+
+def test_degrees_without_entries_equal_those_of_the_symmetric_matrix(spark):
+    df = one_file_and_a_short_one(spark)
+    keyed = df.withColumn("file_id", F.coalesce("file_id", F.lit(-1)))
+    w = vectors.symmetric(vectors.prune(vectors.affinity(keyed).withColumn("sim", F.floor(F.col("sim") * 1e6 + 0.5) / 1e6)))
+    want = w.groupBy("file_id", "i").agg((F.floor(F.sum(F.abs("w")) * 2e6 + 0.5) / 2e6).alias("degree"), F.count(F.lit(1)).alias("links"))
+    got, tasks = by_partition(spark, vectors.pruned_degrees(df, digits=6))
+    assert sorted((-1 if f is None else f, *r) for f, *r in got) == sorted(map(tuple, want.collect())) and tasks > 1

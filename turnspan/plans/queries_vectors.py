@@ -47,14 +47,10 @@ SIMS = f"""{VEC}, sims AS (
 ), pruned AS (SELECT file_id, i, j, {SIX.format("sim")} AS sim, rank FROM numbered WHERE rank <= n - least(floor((1 - 0.012::DOUBLE) * n), n - 6))"""
 
 
-def _sims(spark, sf_dir):
-    return vectors.pruned_affinity(v.v_vec(spark, sf_dir), digits=6)
-
-
 @register("sim_topk", f"WITH {SIMS} SELECT file_id, i, j, sim, rank::INT AS rank FROM pruned")
 def sim_topk(spark, sf_dir):
-    """All pairs of one file; its vectors are bounded by the short-recording rule."""
-    return _sims(spark, sf_dir)
+    """All vectors are of one file."""
+    return vectors.pruned_affinity(v.v_vec(spark, sf_dir), digits=6)
 
 
 SYM = f"""{SIMS}, half AS (
@@ -64,8 +60,7 @@ SYM = f"""{SIMS}, half AS (
 
 @register("laplacian_degree", f"WITH {SYM} SELECT file_id, i, floor(sum(abs(w)) * 2e6 + 0.5) / 2e6 AS degree, count(*) AS links FROM sym GROUP BY file_id, i")
 def laplacian_degree(spark, sf_dir):
-    w = vectors.symmetric(_sims(spark, sf_dir))
-    return w.groupBy("file_id", "i").agg((F.floor(F.sum(F.abs("w")) * 2e6 + 0.5) / 2e6).alias("degree"), F.count(F.lit(1)).alias("links"))
+    return vectors.pruned_degrees(v.v_vec(spark, sf_dir), digits=6)
 
 
 MINOR = "CASE WHEN vec_id < 9 THEN 100 + vec_id // 3 ELSE label END"
