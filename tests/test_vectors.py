@@ -56,6 +56,39 @@ def test_density_finds_planted_clusters():
     assert (label == cluster.cluster(x, cluster.DensityConfig(neighbours=15, components=8))).all()
 
 
+def reachability_lengths(x, samples):
+    """The lengths of a minimum spanning tree by a whole matrix, one row after another (Prim)."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, samples - 1]
+    d = np.maximum(np.maximum(d, core), core[:, None])
+    out, best, inside = [], d[0].copy(), np.arange(len(x)) == 0
+    for _ in range(len(x) - 1):
+        at = np.where(inside, np.inf, best).argmin()
+        out.append(best[at])
+        inside[at] = True
+        best = np.minimum(best, d[at])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("near", [1, 12, 1000])
+@pytest.mark.parametrize("case", ["apart", "one", "copies"])
+def test_reachability_tree_is_of_least_length(case, near):
+    x = {"apart": planted(5, 60, 6)[0], "one": planted(1, 300, 3, 1.0)[0], "copies": np.repeat(planted(40, 1, 4)[0], 8, axis=0)}[case]
+    edges = cluster.reachability_tree(x, 5, near)
+    assert np.allclose(sorted(e[0] for e in edges), reachability_lengths(x, 5), atol=1e-6)
+    assert {e[2] for e in cluster.from_first(edges, len(x))} == set(range(1, len(x)))
+
+
+def test_layout_holds_a_block_of_edges():
+    x, _ = planted(3, 1400, 8, 1.0)
+    tracemalloc.start()
+    y = cluster.umap_layout(x, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    edges = len(cluster.fuzzy_graph(*cluster.neighbours(x, 40))[2])
+    assert np.isfinite(y).all() and y.shape == (len(x), 60) and peak < 2 * 8 * edges * 60
+
+
 def test_few_vectors_are_one_speaker():
     x = np.random.default_rng(0).normal(size=(9, 8))
     assert (cluster.cluster(x, cluster.SpectralConfig()) == 1).all()
